@@ -35,7 +35,6 @@ class ChunkEncoder:
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are those of
     its white-space chunks one after another; each distinct chunk is encoded by the library once.
-    Chunks that start with a combining character are left with the chunk before them.
     """
 
     def __init__(self, path: str):
