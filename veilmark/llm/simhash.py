@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, release, space_words, utf8, written
+from .common import components, drop_written, release, row_key, space_words, utf8, written
 
 #: Buckets up to this size are joined pairwise; larger ones take the exact two-wildcard way.
 BUCKET = 64
@@ -56,15 +56,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): each row's fingerprint as a signed long."""
+    """(doc_id, _th, fp): each row's key and its fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([majority(shingle_hashes(t, width)) for t in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([majority(shingle_hashes(t, width)) for t in utf8(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps, pa.int64())], ["doc_id", "_th", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(*row_key(docs), "text").mapInArrow(run, f"doc_id {kind}, _th bigint, fp bigint")
 
 
 def _signatures(fps: DataFrame) -> DataFrame:
@@ -117,15 +117,9 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).union(star)
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Group documents whose SimHash fingerprints differ in at most two bits, transitively.
-
-    Takes ``doc_id`` and ``text`` (other columns are ignored) and returns one row for each input row:
-    ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest doc_id reachable, the
-    row's own included). Null and blank texts have fingerprint zero and are linked like any other. A
-    null doc_id is never a component_id unless its component has no other. Repeated rows stay. No rows
-    give no rows.
-    """
+def _rooted(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, least, root): each fingerprint's smallest doc_id and the
+    smallest fingerprint that it is linked with."""
     spark = docs.sparkSession
     prints = written(fingerprints(docs, width), "simhash-prints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
@@ -134,24 +128,38 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     rooted = written(rooted, "simhash-roots")
+    drop_written(spark, classes)
     release(spark)
+    return prints, rooted
+
+
+def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+    """Group documents whose SimHash fingerprints differ in at most two bits, transitively.
+
+    Takes ``doc_id`` and ``text`` (other columns are ignored) and returns one row for each input row:
+    ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest doc_id reachable, the
+    row's own included). Null and blank texts have fingerprint zero and are linked like any other. A
+    null doc_id is never a component_id unless its component has no other. Repeated rows stay. No rows
+    give no rows.
+    """
+    prints, rooted = _rooted(docs, width)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    drop_written(spark, classes)
     return prints.join(named, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id.
-
-    All columns stay. Of repeated rows with that doc_id one stays.
+def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id, a row without
+    an id only where its group has no other. All columns stay. Of repeated rows one stays.
     """
-    groups = near_duplicates(docs)
-    kept = written(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "simhash-kept")
-    n, distinct = kept.agg(F.count("*"), F.count_distinct(F.struct("doc_id"))).first()
-    out = docs.alias("d").join(
-        kept.distinct().alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi"
-    )
-    return out if n == distinct else out.dropDuplicates(["doc_id"])
+    prints, rooted = _rooted(docs, width)
+    # the smallest key of each fingerprint, then of each group: no step gathers a group's rows
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
+    kept = prints.groupBy("fp").agg(F.min(first).alias("k")).join(rooted, "fp").groupBy("root").agg(F.min("k").alias("k"))
+    kept = written(kept.select("k.doc_id", "k._th"), "simhash-kept")
+    rows = docs.withColumn("__row_th", F.xxhash64("text")).alias("d")
+    out = rows.join(kept.alias("k"), F.expr("d.__row_th = k._th and d.doc_id <=> k.doc_id"), "left_semi")
+    n, distinct = prints.agg(F.count("*"), F.count_distinct(F.struct("doc_id", "_th"))).first()
+    return (out if n == distinct else out.dropDuplicates(["doc_id", "__row_th"])).select(docs.columns)

@@ -85,13 +85,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, fil
     rows.mapInArrow(run, f"doc_id {kind}, ids array<int>").write.options(**ORC).orc(path)
 
 
-def read(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, where: Column | None = None, id_type: str = "bigint") -> DataFrame:
     """(doc_id, ids) of the files; ``where`` on doc_id is pushed down to stripes and row groups."""
-    rows = spark.read.orc(path)
+    rows = spark.read.schema(f"doc_id {id_type}, ids array<int>").orc(path)
     return rows if where is None else rows.filter(where)
 
 
-def index(spark: SparkSession, path: str) -> DataFrame:
+def index(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """Per row of the files: doc_id, start (ids in all rows before it), n_tokens and ids_crc32 (unsigned
     crc32 of its ids as little-endian unsigned 32-bit integers), read back from them.
 
@@ -108,8 +108,8 @@ def index(spark: SparkSession, path: str) -> DataFrame:
             made = [pa.array(np.diff(o), pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *made], ["file", "row", "doc_id", "n_tokens", "ids_crc32"])
 
-    files = spark.read.orc(path)
-    kind = files.schema["doc_id"].dataType.simpleString()
+    files = read(spark, path, id_type=id_type)
+    kind = id_type
     name = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
     rows = files.select(name.alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("row"), "ids", "doc_id")
     rows = rows.select("file", F.struct("_at", "row").alias("row"), "ids", "doc_id").mapInArrow(
@@ -132,4 +132,4 @@ def tokenised(docs: DataFrame, vocabulary: str, path: str | None = None, end_id:
     spark = docs.sparkSession
     path = path or scratch(spark, "token-files")
     write(docs, path, vocabulary, end_id)
-    return index(spark, path)
+    return index(spark, path, docs.schema["doc_id"].dataType.simpleString())
