@@ -62,9 +62,12 @@ def _matches(text: Column, number: int, kind: str, pattern: str, typed: bool) ->
 
 def find_tags(text: Column) -> Column:
     """Array of (position, pattern_no, tag_text, tag_type, format) by position; null for null."""
-    every = F.array_sort(F.concat(*[_matches(text, k, *n) for k, n in enumerate(NOTATIONS)]))
-    first = let(every, lambda e: F.filter(e, lambda t, i: (i == 0) | (F.get(e, i - 1)["position"] != t["position"])))
-    return F.when(text.rlike(ANY_TAG), first).when(text.isNotNull(), F.array().cast(TAG)).cast(TAG)
+
+    def found(x: Column) -> Column:
+        every = F.array_sort(F.concat(*[_matches(x, k, *n) for k, n in enumerate(NOTATIONS)]))
+        return let(every, lambda e: F.filter(e, lambda t, i: (i == 0) | (F.get(e, i - 1)["position"] != t["position"])))
+
+    return F.when(text.rlike(ANY_TAG), let(text, found)).when(text.isNotNull(), F.array().cast(TAG)).cast(TAG)
 
 
 def tag_count(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import maps
 from .binding import let
-from .tags import ANY_TAG, find_tags
+from .tags import find_tags
 
 
 def strip(text: Column) -> Column:
@@ -49,9 +49,9 @@ def redact(text: Column, items: Column) -> Column:
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
-    """1 - distance / length of the longer; 1 for two empty texts."""
+    """1 - distance / length of the longer; 1 for equal texts, which need no distance."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(a == b, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
 def overlap(of: Column, other: Column) -> Column:
@@ -59,18 +59,21 @@ def overlap(of: Column, other: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(of, other)).cast("double"), F.size(of))
 
 
-def resembles(candidate: Column, original: Column | None) -> Column:
+def _content(text: Column) -> Column:
+    """The distinct lower-cased tokens that are no stop words."""
+    return F.array_except(token_set(text), F.array(*[F.lit(w) for w in maps.STOP_WORDS]))
+
+
+def resembles(candidate: Column, original: Column | None, content: Column | None = None) -> Column:
     """Whether a candidate is a redaction of ``original``: it shares enough words, stop words aside.
-    Without an original: whether it has a typed tag."""
+    Without an original: whether it has a typed tag. ``content``: the original's words, if at hand."""
     names = "|".join(maps.TAG_NAMES)
     typed = candidate.rlike(rf"(?iu)[\[<](?:{names})[\]>]")
     if original is None:
         return typed
-    stop = F.array(*[F.lit(w) for w in maps.STOP_WORDS])
-    ours, theirs = (F.array_except(token_set(x), stop) for x in (original, candidate))
-    share = F.coalesce(overlap(ours, theirs), F.lit(0.0))
-    tagged = candidate.rlike(ANY_TAG) & (F.size(find_tags(candidate)) > 0)
-    return F.when(F.length(original) == 0, typed).otherwise((share > 0.4) & ((share > 0.85) | tagged))
+    share = F.coalesce(overlap(_content(original) if content is None else content, _content(candidate)), F.lit(0.0))
+    close = let(share, lambda s: (s > 0.4) & ((s > 0.85) | (F.size(find_tags(candidate)) > 0)))
+    return F.when(F.length(original) == 0, typed).otherwise(close)
 
 
 def _of_size(size: int):
@@ -93,30 +96,35 @@ def repeats(text: Column, threshold: int = 3) -> Column:
     return F.when(n < threshold, False).otherwise(rows | runs)
 
 
-def _after_last(text: Column, marker: str) -> Column:
-    """What stands after the last ``marker``, trimmed; null without one."""
-    pieces = F.split(text, rf"\Q{marker}\E", -1)
-    return F.when(F.size(pieces) > 1, strip(F.element_at(pieces, -1)))
-
-
 def section_answer(raw: Column, original: Column | None = None) -> Column:
     """Struct (text, status) of the answer in a response of several sections.
 
     In turn: after the first of the markers that is there and followed by text; the last paragraph that
     resembles the original; nothing for collapsed, cut off or garbled responses; else the whole.
     """
-    text = strip(raw)
+    given = F.struct(strip(F.coalesce(raw, F.lit(""))).alias("text"), (F.lit(None).cast("array<string>") if original is None else _content(original)).alias("content"))
+    return let(given, lambda g: _section(g["text"], original, g["content"]))
+
+
+def _section(text: Column, original: Column | None, content: Column) -> Column:
     pair = lambda t, s: F.struct(t.alias("text"), F.lit(s).alias("status"))
-    out = None
-    add = lambda chain, cond, value: F.when(cond, value) if chain is None else chain.when(cond, value)
-    out = add(out, raw.isNull() | (text == ""), pair(F.lit(""), "empty"))
-    for marker in maps.SECTION_MARKERS:
-        found = _after_last(text, marker)
-        there = F.coalesce(found != "", F.lit(False))
-        out = out.when(there & resembles(found, original), pair(found, "clean")).when(there, pair(found, "minor_format"))
+    # after each marker, in their order: the first that is there and followed by text
+    markers = F.array(*[F.lit(m) for m in maps.SECTION_MARKERS])
+    after = lambda m: F.when(F.contains(text, m), strip(F.element_at(F.split(text, F.concat(F.lit(r"\Q"), m, F.lit(r"\E")), -1), -1)))
+    found = F.get(F.filter(F.transform(markers, after), lambda x: F.coalesce(x != "", F.lit(False))), F.lit(0))
     parts = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
-    fitting = F.filter(parts, lambda p: resembles(p, original))
-    out = out.when(F.size(fitting) > 0, pair(F.try_element_at(fitting, F.lit(-1)), "output_only"))
+    last = F.try_element_at(F.filter(parts, lambda p: resembles(p, original, content)), F.lit(-1))
+
+    def without_section(paragraph: Column) -> Column:
+        out = F.when(paragraph.isNotNull(), pair(paragraph, "output_only"))
+        return _collapsed(out, text, pair)
+
+    section = lambda x: F.when(resembles(x, original, content), pair(x, "clean")).otherwise(pair(x, "minor_format"))
+    return F.when(text == "", pair(F.lit(""), "empty")).otherwise(let(found, lambda x: F.when(x.isNotNull(), section(x)).otherwise(let(last, without_section))))
+
+
+def _collapsed(out: Column, text: Column, pair) -> Column:
+    """What is left when there is neither a section nor a paragraph to take."""
     out = out.when(repeats(text), pair(F.lit(""), "repetition"))
     out = out.when((F.size(tokens(text)) > 200) & ~text.rlike(r"[.?!\]>]$"), pair(F.lit(""), "truncated"))
     strange = F.length(F.regexp_replace(text, r"[\x00-\x7F]", "")) / F.length(text)
