@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import row_key, written
 
 K = 3
 #: Diagonals at most this many words apart are one span.
@@ -109,7 +109,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     Words are lower-cased runs of letters and digits; null and blank texts have none. Rows that repeat
     id and text get the same results.
     """
-    voted = diagonals(docs, phrases, templates)
+    voted = written(diagonals(docs, phrases, templates), "license-votes")  # few rows, used twice below
     places = (
         voted.filter("base and votes = total")
         .groupBy("doc_id", "_th")
