@@ -3,7 +3,11 @@ columns, whitespace and alphanumeric words, connected components."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
+import shutil
+import sys
 import tempfile
 import uuid
 
@@ -23,14 +27,16 @@ ALNUM_TABLE = bytes(
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests, one machine) a temporary folder is made and kept as the
-    session's own checkpoint folder; on a cluster the setting is required.
+    Where that setting is absent (tests, one machine) a temporary folder is made for the session, which
+    goes when the driver ends; on a cluster the setting is required.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("veilmark.scratch.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="veilmark-")
+        own = tempfile.mkdtemp(prefix="veilmark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
         spark.conf.set("veilmark.scratch.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
@@ -58,6 +64,26 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows that a batch of texts on its way to Python holds at most.
+BATCH = 1_000
+
+
+def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` for rows that hold whole texts: batches of ``BATCH`` rows, unless the session's own
+    setting is not Spark's default, and memory that a worker no longer needs is given back."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH))
+
+    def frugal(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return rows.mapInArrow(frugal, schema)
+
+
 def utf8(column: pa.Array) -> list:
     """The rows of a string column as bytes (None where null), without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, alnum_words, utf8
+from .common import ALNUM_TABLE, alnum_words, map_texts, utf8
 
 WINDOW = 10
 #: Words of items in one automaton (at most two states a word).
@@ -164,26 +165,32 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK):
 _HITS = "starts array<int>, ends array<int>, items array<string>"
 
 
+def _spans(a: Automaton, texts: list[bytes | None]) -> tuple[list, list, list, list]:
+    """Of each text: words, starts and ends of the spans of hit words, items hit."""
+    n_words, starts, ends, items = [], [], [], []
+    for text in texts:
+        words = alnum_words(text)
+        hit, found = a.matches(words)
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
+        n_words.append(len(words))
+        starts.append(edges[::2])
+        ends.append(edges[1::2])
+        items.append([a.items[k] for k in found])
+    return n_words, starts, ends, items
+
+
 def _hits(rows: DataFrame, keep: list[str], automaton) -> DataFrame:
     """``rows`` with n_words, the spans of hit words (word positions) and the items hit, by one automaton."""
 
     def run(batches):
         a = automaton.value
         for b in batches:
-            n_words, starts, ends, items = [], [], [], []
-            for text in utf8(b.column(len(keep))):
-                words = alnum_words(text)
-                hit, found = a.matches(words)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
-                n_words.append(len(words))
-                starts.append(edges[::2])
-                ends.append(edges[1::2])
-                items.append([a.items[k] for k in found])
+            n_words, starts, ends, items = _spans(a, utf8(b.column(len(keep))))
             made = [pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], [*keep, "n_words", "starts", "ends", "items"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, "text").mapInArrow(run, f"{kinds}, n_words bigint, {_HITS}")
+    return map_texts(rows.select(*keep, "text"), run, f"{kinds}, n_words bigint, {_HITS}")
 
 
 def _merge(spans):
@@ -214,9 +221,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     no window. An item with a null id marks words and counts as an item with the empty id. Repeated
     rows and items change nothing.
     """
-    spark = docs.sparkSession
+    return _contamination(docs, _sent(benchmark, window, block))
+
+
+def _sent(benchmark: DataFrame, window: int, block: int) -> list:
+    """The automata, each bounded by ``block``, broadcast."""
+    return [benchmark.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, block)]
+
+
+def _contamination(docs: DataFrame, sent: list) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"))
-    sent = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block)]
     if len(sent) == 1:
         found = _hits(rows, ["doc"], sent[0])
     else:  # one pass for each automaton, over the rows of the pass before
@@ -264,27 +278,31 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Spans of hit words are cut out of the text. A document goes as a whole if a span is longer than
     ``most`` words or more than ``coverage`` of its words are hit. Documents without a hit stay as they are.
     """
-    found = contamination(docs, benchmark, window)
-    names = docs.columns
+    names, sent = docs.columns, _sent(benchmark, window, BLOCK)
     at = names.index("text")
 
-    def run(batches):
+    def cut(fields: list, n_words: list, starts: list, ends: list) -> pa.RecordBatch:
+        texts, keep = utf8(fields[at]), []
+        for k, (n, s, e) in enumerate(zip(n_words, starts, ends)):
+            longest, hit = max((y - x for x, y in zip(s, e)), default=0), sum(e) - sum(s)
+            keep.append(longest <= most and hit <= coverage * max(n, 1))
+            if s and keep[-1]:
+                texts[k] = cut_spans(texts[k], s, e)
+        fields[at] = pa.array(texts, pa.binary()).cast(pa.string())
+        if "n_chars" in names:
+            was, changed = fields[names.index("n_chars")], pa.array([bool(s) for s in starts], pa.bool_())
+            now = pc.utf8_length(fields[at]).cast(was.type)
+            fields[names.index("n_chars")] = pc.if_else(changed, now, was)
+        return pa.RecordBatch.from_arrays(fields, names).filter(pa.array(keep, pa.bool_()))
+
+    def once(batches):  # one automaton: marked and cut by the same worker
+        for b in batches:
+            yield cut(list(b.columns), *_spans(sent[0].value, utf8(b.column(at)))[:3])
+
+    def after(batches):
         for b in batches:
-            doc = b.column(0)
-            fields, n_words = doc.flatten(), b.column(1).to_pylist()
-            starts, ends = b.column(2).to_pylist(), b.column(3).to_pylist()
-            texts = utf8(fields[at])
-            keep = []
-            for k, (n, s, e) in enumerate(zip(n_words, starts, ends)):
-                longest, hit = max((y - x for x, y in zip(s, e)), default=0), sum(e) - sum(s)
-                keep.append(longest <= most and hit <= coverage * max(n, 1))
-                if s and keep[-1]:
-                    texts[k] = cut_spans(texts[k], s, e)
-            fields[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            if "n_chars" in names:
-                was, changed = fields[names.index("n_chars")], pa.array([bool(s) for s in starts])
-                now = pa.compute.utf8_length(fields[at]).cast(was.type)
-                fields[names.index("n_chars")] = pa.compute.if_else(changed, now, was)
-            yield pa.RecordBatch.from_arrays(fields, names).filter(pa.array(keep))
-
-    return found.mapInArrow(run, docs.schema)
+            yield cut(b.column(0).flatten(), *(b.column(k).to_pylist() for k in (1, 2, 3)))
+
+    if len(sent) == 1:
+        return map_texts(docs, once, docs.schema)
+    return map_texts(_contamination(docs, sent), after, docs.schema)

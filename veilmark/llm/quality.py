@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import map_texts, utf8
 
 #: At most so many labelled rows are learned from, those with the smallest seeded hashes.
 SAMPLE = 20_000
@@ -138,7 +138,7 @@ def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], x], [*keep, "x"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, x array<double>")
+    return map_texts(docs.select(*keep, "text"), run, f"{kinds}, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Trees:
@@ -164,7 +164,7 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x), pa.float64())], ["doc", "score"])
 
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, score double")
+    return map_texts(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, release, row_key, space_words, utf8, written
+from .common import components, drop_written, map_texts, release, row_key, space_words, utf8, written
 
 #: Buckets up to this size are joined pairwise; larger ones take the exact two-wildcard way.
 BUCKET = 64
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps, pa.int64())], ["doc_id", "_th", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(*row_key(docs), "text").mapInArrow(run, f"doc_id {kind}, _th bigint, fp bigint")
+    return map_texts(docs.select(*row_key(docs), "text"), run, f"doc_id {kind}, _th bigint, fp bigint")
 
 
 def _signatures(fps: DataFrame) -> DataFrame:
@@ -82,7 +82,8 @@ def _signatures(fps: DataFrame) -> DataFrame:
 def near_pairs(fps: DataFrame) -> DataFrame:
     """Edges (u, v) among the distinct longs ``fps`` (fp) that connect, directly or through others,
     exactly those that differ in at most two bits."""
-    sigs = _signatures(fps)
+    # 64 rows come of each fingerprint: dealt out evenly first, as a small table is in few files
+    sigs = _signatures(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     buckets = (
         sigs.groupBy("sig")
         .agg(F.count("*").alias("n"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("varying"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import map_texts, utf8
 
 #: Entries of a worker's cache; it starts anew when full.
 CACHE = 400_000
@@ -146,5 +146,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    out = map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
