@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, release, row_key, space_words, utf8, written
+from .common import drop_written, map_texts, release, row_key, space_words, utf8, written
 
 WINDOW = 35
 ROUNDS = 3
@@ -164,7 +164,7 @@ def _symbols(docs: DataFrame, width: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), *row_key(docs), "text")
-    return rows.mapInArrow(run, f"rid bigint, doc_id {kind}, _th bigint, x array<bigint>, c array<bigint>, w array<bigint>")
+    return map_texts(rows, run, f"rid bigint, doc_id {kind}, _th bigint, x array<bigint>, c array<bigint>, w array<bigint>")
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
                 hs = [_mix(_Ranges(h, base).of(p, p + width)).view(np.int64) for base in (_P1, _P2)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), rid)), pa.array(p * 64), *map(pa.array, hs)], ["rid", "w", "h1", "h2"])
 
-    return rows.select("rid", "text", "ws").mapInArrow(run, "rid bigint, w bigint, h1 bigint, h2 bigint")
+    return map_texts(rows.select("rid", "text", "ws"), run, "rid bigint, w bigint, h1 bigint, h2 bigint")
 
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -190,8 +190,10 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     symbols = written(_symbols(docs, width), "repeat-symbols")
     keys = symbols.select("rid", "doc_id", "_th")
     found = symbols.select("rid", F.explode(F.arrays_zip("x", "c", "w")).alias("s")).select("rid", "s.x", "s.c", "s.w")
-    shared = found.groupBy("x").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("open")).filter("n > 1")
-    shared = written(found.join(shared.select("x", "open"), "x").select("rid", "w", "open"), "repeat-shared")
+    counts = found.groupBy("x").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("open")).filter("n > 1")
+    # written before the join, which then deals both sides out anew and can split a symbol that is everywhere
+    counts = written(counts.select("x", "open"), "repeat-counts")
+    shared = written(found.join(counts, "x").select("rid", "w", "open"), "repeat-shared")
     release(spark)
     open_ = shared.filter("open").groupBy("rid").agg(F.collect_list("w").alias("ws")).join(keys, "rid")
     texts = docs.select(*row_key(docs), "text").alias("d")
@@ -199,12 +201,13 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     rows = rows.dropDuplicates(["rid"]) if _has_copies(keys) else rows
     windows = written(_windows(rows.select("rid", "text", "ws"), width), "repeat-windows")
     release(spark)
-    counts = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    settled = windows.join(counts, ["h1", "h2"]).select("rid", "w")
+    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = written(again, "repeat-again")
+    settled = windows.join(again, ["h1", "h2"]).select("rid", "w")
     each = shared.filter(~F.col("open")).select("rid", "w").union(settled).groupBy("rid").agg(F.collect_list("w").alias("ws"))
     out = each.join(keys, "rid").groupBy("doc_id", "_th").agg(F.flatten(F.collect_list("ws")).alias("ws"))
     out = written(out, "repeat-windows-found")
-    drop_written(spark, symbols, shared, windows)
+    drop_written(spark, symbols, counts, shared, windows, again)
     release(spark)
     return out
 
@@ -253,7 +256,7 @@ def without_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(*row_key(docs), "text").alias("d").join(found.alias("f"), F.expr("d._th = f._th and d.doc_id <=> f.doc_id"), "left")
-    return rows.select("d.doc_id", "text", "ws").mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    return map_texts(rows.select("d.doc_id", "text", "ws"), run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
