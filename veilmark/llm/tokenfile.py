@@ -8,6 +8,7 @@ document's tokens and the end id.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -15,13 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, utf8
+from .common import map_texts, scratch, utf8, written
 
 END_ID = 2
-#: Entries of a worker's cache of encoded chunks; it starts anew when full.
-CACHE = 300_000
+#: Entries of each generation of a worker's cache.
+CACHE = 250_000
+#: Pre-tokens of lower-cased ASCII text, as the tokenizer's own pattern makes them.
+_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+#: First bytes of the combining marks that ASCII letters are composed with: there, lower-casing letters
+#: first may give another composition. The last may begin a special token, which is a matter of case.
+_CASED = (b"\xcc", b"\xcd", b"<|")
 ORC = {
-    "compression": "zlib",
+    "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "1000",
     "orc.create.index": "true",
@@ -33,25 +39,73 @@ ORC = {
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and never joins characters across it, so a text's ids are those of
-    its white-space chunks one after another; each distinct chunk is encoded by the library once.
+    The tokenizer lower-cases, drops white space and merges nothing across its pre-tokens, so a text's
+    ids are those of its pieces one after another, and each distinct piece is encoded by the library
+    once. Pieces are the pre-tokens of lower-cased ASCII texts and the white-space chunks of others,
+    lower-cased unless there are combining marks or perhaps special tokens. Many pieces go to the library
+    as one text: a pre-token ends with the one token of it that has the end-of-word mark; between chunks,
+    which may hold several pre-tokens, stands a separator.
     """
 
+    SEPARATOR = "\x01"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[k for x, k in names.items() if x.endswith("</w>")]] = True
+        (self.mark,) = self._ids([self.SEPARATOR])[0]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes], glue: bytes) -> None:
+        """Encode new pieces, a thousand to a text, ``glue`` between them."""
+        groups = [pieces[k : k + 1000] for k in range(0, len(pieces), 1000)]
+        for group, ids in zip(groups, self._ids([glue.join(g).decode() for g in groups])):
+            ids = np.array(ids, "<u4")
+            if glue == b" ":
+                ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                starts = [0, *ends[:-1]]
+            else:
+                marks = np.flatnonzero(ids == self.mark)
+                starts, ends = [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
+            if len(ends) != len(group):
+                raise ValueError("the tokenizer does not take pieces one by one")
+            raw = ids.tobytes()
+            self.young.update(zip(group, (raw[4 * a : 4 * z] for a, z in zip(starts, ends))))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        chunked = [t.split() if t else [] for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        new = list(set().union(*chunked) - self.cache.keys())
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)):
-                self.cache[chunk] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, c)) for c in chunked]
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        get, split, words, chunks = self.young.get, [], set(), set()
+        for text in texts:
+            text = text or b""
+            cased = any(x in text for x in _CASED)
+            plain = text.isascii() and not cased
+            pieces = _ASCII.findall(text.lower()) if plain else (text if cased else text.lower()).split()
+            parts = list(map(get, pieces))
+            missing = [i for i, x in enumerate(parts) if x is None] if None in parts else []
+            (words if plain else chunks).update(map(pieces.__getitem__, missing))
+            split.append((pieces, parts, missing))
+        alone = {c for c in chunks if c.isalpha()}  # ASCII letters only: one pre-token
+        words |= alone
+        chunks -= words
+        for new in (words, chunks):
+            known = new & self.old.keys()
+            self.young.update((p, self.old[p]) for p in known)
+            new -= known
+        self._learn(list(words), b" ")
+        odd = {c for c in chunks if b"\x01" in c or b"<|" in c}
+        self._learn(list(chunks - odd), f" {self.SEPARATOR} ".encode())
+        for p, ids in zip(odd, self._ids([p.decode() for p in odd]) if odd else []):
+            self.young[p] = np.array(ids, "<u4").tobytes()
+        for pieces, parts, missing in split:
+            for i in missing:
+                parts[i] = self.young[pieces[i]]
+        return [b"".join(parts) for _, parts, _ in split]
 
 
 def _encoder(path: str):
@@ -78,11 +132,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, fil
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "ids"])
+        encoder.old = {}  # an idle worker keeps one generation
 
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    rows.mapInArrow(run, f"doc_id {kind}, ids array<int>").write.options(**ORC).orc(path)
+    map_texts(rows, run, f"doc_id {kind}, ids array<int>").write.options(**ORC).orc(path)
 
 
 def read(spark: SparkSession, path: str, where: Column | None = None, id_type: str = "bigint") -> DataFrame:
@@ -112,9 +167,9 @@ def index(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     kind = id_type
     name = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
     rows = files.select(name.alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("row"), "ids", "doc_id")
-    rows = rows.select("file", F.struct("_at", "row").alias("row"), "ids", "doc_id").mapInArrow(
-        run, f"file int, row struct<_at bigint, row bigint>, doc_id {kind}, n_tokens bigint, ids_crc32 bigint"
+    rows = map_texts(rows.select("file", F.struct("_at", "row").alias("row"), "ids", "doc_id"), run, f"file int, row struct<_at bigint, row bigint>, doc_id {kind}, n_tokens bigint, ids_crc32 bigint"
     )
+    rows = written(rows, "token-index")  # three numbers a row, read twice below
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
