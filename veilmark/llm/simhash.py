@@ -155,7 +155,11 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id, a row without
     an id only where its group has no other. All columns stay. Of repeated rows one stays.
     """
-    prints, rooted = _rooted(docs, width)
+    return one_each(docs, *_rooted(docs, width))
+
+
+def one_each(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root, from (doc_id, _th, fp) of all rows and (fp, root)."""
     # the smallest key of each fingerprint, then of each group: no step gathers a group's rows
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
     kept = prints.groupBy("fp").agg(F.min(first).alias("k")).join(rooted, "fp").groupBy("root").agg(F.min("k").alias("k"))
