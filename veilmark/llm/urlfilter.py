@@ -23,7 +23,12 @@ RULES = (
     ("com", "/de/", "block"),
 )
 DAMPING = 0.85
+#: Rounds of the query's SQL: propagation runs at least these, and on until it has settled.
 ROUNDS = 12
+#: Propagation has settled when a round changes trust and distrust of all hosts by no more than this part of their seeds.
+TOLERANCE = 1e-9
+#: 0.85 ** 1,000 is far below the tolerance: not settled by then is an error.
+MOST_ROUNDS = 1_000
 #: Part of trust and distrust together from which a host is blocked.
 THRESHOLD = 0.5
 #: Up to so many rules are looked up in a literal map; more are joined.
@@ -98,7 +103,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     """(host, trust, distrust) from seeds (host, good, bad) and edges (src, dst, n).
 
     A round gives each host (1 - damping) of its seed and ``damping`` of what its neighbours pass on, in
-    proportion to links; trust follows links and distrust goes against them.
+    proportion to links; trust follows links and distrust goes against them. Rounds go on, ``rounds`` at
+    least, until the summed change of one is at most ``TOLERANCE`` of all seeds.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("of"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("of"))
@@ -108,15 +114,26 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("host")).distinct()
     base = written(nodes.join(seeds, "host", "left").select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")), "url-seeds")
     now = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for k in range(rounds):
+    total = base.agg(F.coalesce(F.sum(F.col("good") + F.col("bad")), F.lit(0.0))).first()[0]
+    for k in range(MOST_ROUNDS):
         came = now.filter("trust > 0 or distrust > 0").join(moves, F.col("host") == F.col("a")).groupBy("b").agg(F.sum(F.col("trust") * F.col("t")).alias("t"), F.sum(F.col("distrust") * F.col("d")).alias("d"))
         after = base.join(came, F.col("host") == F.col("b"), "left").select(
             "host",
             (F.col("good") * (1 - damping) + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
             (F.col("bad") * (1 - damping) + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
         )
-        now = written(after, "url-round") if k % 3 == 2 or k == rounds - 1 else after
-    return now
+        if k % 3 != 2 and k != rounds - 1:
+            now = after
+            continue
+        after = written(after, "url-round")
+        if k >= rounds - 1:
+            was = now.select(F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
+            change = F.abs(F.col("trust") - F.col("_trust")) + F.abs(F.col("distrust") - F.col("_distrust"))
+            moved = after.join(was, F.col("host") == F.col("_host")).agg(F.coalesce(F.sum(change), F.lit(0.0))).first()[0]
+            if moved <= TOLERANCE * total:
+                return after
+        now = after
+    raise RuntimeError(f"trust and distrust did not settle in {MOST_ROUNDS} rounds")
 
 
 def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
