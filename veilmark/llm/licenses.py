@@ -71,8 +71,8 @@ def words(text: str = "text") -> Column:
 
 
 def diagonals(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(doc_id, _th, template, label, base, total, diagonal, votes, first, last): the votes of each
-    diagonal and the text's words from first to last that gave them."""
+    """(doc_id, _th, template, label, base, total, diagonal, votes, places, first, last): the votes of each
+    diagonal, the template's words that they stand for and the text's words from first to last that gave them."""
     table = _template_table(docs.sparkSession, grams(phrases, templates))
     rows = docs.select(*row_key(docs), words().alias("w")).select(
         "*",
@@ -82,21 +82,21 @@ def diagonals(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dic
     )
     hits = rows.join(F.broadcast(table), "h").filter(F.slice("w", F.col("p") + 1, K) == F.col("gram"))
     return hits.groupBy("doc_id", "_th", "template", "label", "base", "total", (F.col("p") - F.col("at")).alias("diagonal")).agg(
-        F.count_distinct("at").alias("votes"), F.min("p").alias("first"), (F.max("p") + K - 1).alias("last")
+        F.count_distinct("at").alias("votes"), F.collect_set("at").alias("places"), F.min("p").alias("first"), (F.max("p") + K - 1).alias("last")
     )
 
 
 def spans(voted: DataFrame, shift: int = SHIFT) -> DataFrame:
     """Merge neighbouring diagonals of each text and template: (..., first, last, covered), covered being
-    the share of the template's runs that voted (1 at most)."""
+    the share of the template's runs that voted: a run that votes on several diagonals counts once."""
     by = Window.partitionBy("doc_id", "_th", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > shift, F.lit(True))
     return (
         voted.withColumn("_new", fresh.cast("int"))
         .withColumn("span", F.sum("_new").over(by))
         .groupBy("doc_id", "_th", "template", "label", "base", "total", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .withColumn("covered", F.least(F.lit(1.0), F.col("votes") / F.col("total")))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .withColumn("covered", F.col("votes") / F.col("total"))
     )
 
 
