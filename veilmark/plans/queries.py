@@ -188,12 +188,12 @@ def bootstrap_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap(stats.bootstrap_units(_scores(spark, sf_dir)), 1000)
+    return stats.bootstrap(stats.bootstrap_units(_scores(spark, sf_dir)))
 
 
 def bootstrap_bca(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = stats.bootstrap_units(_scores(spark, sf_dir)).filter("not is_negative").withColumn("recall", F.col("hit") / F.col("phi_count"))
-    return stats.bootstrap_bca(units, ["model", "prompt"], "recall", iterations=200)
+    return stats.bootstrap_bca(units, ["model", "prompt"], "recall")
 
 
 def phi_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
