@@ -14,6 +14,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -68,7 +69,7 @@ def release(spark: SparkSession) -> None:
 BATCH = 1_000
 
 
-def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
+def map_texts(rows: DataFrame, run, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for rows that hold whole texts: batches of ``BATCH`` rows, unless the session's own
     setting is not Spark's default, and memory that a worker no longer needs is given back."""
     conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -100,6 +101,19 @@ def space_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def columns(df: DataFrame) -> list:
+    """All columns of ``df``, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that is no column of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(df: DataFrame) -> list:
     """Columns that name a row of documents across scans: its id and a hash of its text. Rows that
     agree in both are copies of one another and get the same results."""

@@ -6,9 +6,12 @@ above. Each round is one aggregate over the table of sources.
 
 Sampling: a source with target t and size s gives every document floor(t / s) whole repetitions. The
 rest of the target is filled with one more repetition of documents in the order of a seeded hash, each
-taken if it still fits (first fit). Everything up to the first document that does not fit is found from
-sums over hash buckets, without ordering the source; only the buckets from there on that hold the next
-``POOL`` documents are walked in order, so a source with a third of all rows needs no task of its own.
+taken if it still fits (first fit). Sums over hash buckets find the first document that does not fit,
+without ordering the source; from there on the walk goes on in rounds. A round takes the documents
+that are still ahead and no larger than what is left, walks the first buckets of them that hold ``POOL``
+rows in order, and leaves the rest to the next round: what is left falls below the largest document at
+once and then with every round, until nothing is left or nothing ahead is small enough. No task holds
+more than a few buckets of a source, and a bucket holds about ``BUCKET`` rows at any size.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, drop_written, written
+from .common import SPACE_WORD, columns, drop_written, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
-#: Hash bits below the bucket number: 52 bits of hash, 4,096 buckets.
-LOW_BITS = 40
-#: The first fit goes on for the documents of the buckets that hold the next POOL rows.
+#: Bits of the seeded hash.
+BITS = 52
+#: Rows of a source that a hash bucket holds on average, at most.
+BUCKET = 1024
+#: Rows that a round walks in order, and those of their last bucket.
 POOL = 4096
 
 
@@ -73,24 +78,58 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return table.withColumn("target", target)
 
 
-def _first_fit(pool: pd.DataFrame) -> pd.DataFrame:
+def _walk(pool: pd.DataFrame) -> pd.DataFrame:
+    """First fit through the rows (u, size) of one source in the order of u, from what is ``need``ed: the
+    first that does not fit, if that is yet to be found (``first``), and those taken behind it."""
     pool = pool.sort_values("u")
-    left, cut, extras = int(pool["need"].iloc[0]), None, []
+    need, cut, taken, first = int(pool["need"].iloc[0]), None, [], bool(pool["first"].iloc[0])
     for u, size in zip(pool["u"].tolist(), pool["size"].tolist()):
-        if size <= left:
-            left -= size
-            if cut is not None:
-                extras.append(u)
-        elif cut is None:
-            cut = u
+        if size <= need:
+            need -= size
+            taken.append(u)
+        elif first and cut is None:
+            cut, taken = u, []
     return pd.DataFrame(
-        {"source": [pool["source"].iloc[0]], "cut": [1 << 52 if cut is None else cut], "extras": [np.array(extras, np.int64)]}
+        {"source": [pool["source"].iloc[0]], "cut": [cut], "taken": [np.array(taken, np.int64)], "need": [need], "at": [int(pool["u"].iloc[-1])]}
     )
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """(source, source_size, target, whole, cut, extras): how often documents of each source are taken:
-    ``whole`` times, and once more if their hash is below ``cut`` or among ``extras``."""
+def _first_fit(units: DataFrame, wanted: DataFrame, kind: str, pool: int, rows: int) -> DataFrame:
+    """(source, cut, taken) from the ``rows`` ``units`` (source, u, size above 0) and ``wanted`` (source,
+    need above 0): the first u that does not fit, null if all do, and those behind it that do."""
+    spark = units.sparkSession
+    low = BITS - min(40, max(0, -(-rows // BUCKET) - 1).bit_length())
+    bucket = F.shiftright("u", low).alias("bucket")
+    by_bucket = Window.partitionBy("source").orderBy("bucket")
+    schema = f"source {kind}, cut bigint, taken array<bigint>, need bigint, at bigint"
+    state = written(wanted.select("source", "need", F.lit(-1).cast("long").alias("at")), "mix-state")
+    found, first = None, True
+    while True:
+        ahead = units.alias("r").join(state.alias("s"), F.expr("r.source <=> s.source and r.u > s.at"))
+        # before the first misfit every document counts; then those that are small enough
+        ahead = ahead if first else ahead.filter("r.size <= s.need")
+        ahead = ahead.select("r.source", "u", "size", "need")
+        sums = ahead.groupBy("source", bucket).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.first("need").alias("need"))
+        if first:  # from the bucket that holds the first misfit on
+            sums = sums.withColumn("up_to", F.sum("size").over(by_bucket)).filter("up_to > need")
+            sums = sums.withColumn("need", F.first(F.col("need") - F.col("up_to") + F.col("size")).over(by_bucket))
+        sums = sums.withColumn("before", F.sum("n").over(by_bucket) - F.col("n")).filter(F.col("before") < pool)
+        here = ahead.drop("need").withColumn("bucket", bucket).alias("r").join(sums.alias("s"), F.expr("r.source <=> s.source and r.bucket = s.bucket"))
+        walked = written(here.select("r.source", "u", "r.size", "s.need", F.lit(first).alias("first")).groupBy("source").applyInPandas(_walk, schema), "mix-walked")
+        drop_written(spark, state)
+        some = walked.select("source", "cut", "taken")
+        found = some if first else found.union(some)
+        state = written(walked.filter("need > 0").select("source", "need", "at"), "mix-state")
+        first = False
+        if walked.isEmpty() or state.isEmpty():
+            break
+    return found.groupBy("source").agg(F.min("cut").alias("cut"), F.flatten(F.collect_list("taken")).alias("taken"))
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, pool: int = POOL) -> DataFrame:
+    """(source, source_size, target, whole, budget, cut, extras): how often documents of each source are
+    taken: ``whole`` times, and, to fill ``budget`` words, once more if they are empty or their hash is below
+    ``cut`` or among ``extras``. ``pool`` sets how many rows a round of the first fit walks, not what it finds."""
     rows = written(docs.select("source", seeded(seed).alias("u"), word_count().alias("size")), "mix-sizes")
     table = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     table = written(
@@ -98,43 +137,22 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: i
         .withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size"))),
         "mix-targets",
     )
-    bucket = F.shiftright("u", LOW_BITS).alias("bucket")
-    by_bucket = Window.partitionBy("source").orderBy("bucket")
-    sums = (
-        rows.groupBy("source", bucket)
-        .agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-        .withColumn("up_to", F.sum("size").over(by_bucket))
-        .alias("s")
-        .join(table.alias("t"), F.expr("s.source <=> t.source"))
-        .filter("budget > 0 and up_to > budget")
-        .select("s.source", "bucket", "size", "n", (F.col("budget") - (F.col("up_to") - F.col("size"))).alias("need"))
-        # of the buckets from the first that overshoots on: those that begin within the next POOL rows
-        .withColumn("rows_before", F.sum("n").over(by_bucket) - F.col("n"))
-        .withColumn("need", F.first("need").over(by_bucket))
-        .filter(F.col("rows_before") < POOL)
-        .select("source", "bucket", "need")
-    )
-    pool = (
-        rows.withColumn("bucket", bucket)
-        .alias("r")
-        .join(sums.alias("s"), F.expr("r.source <=> s.source and r.bucket = s.bucket"))
-        .groupBy("r.source", "u", "need")
-        .agg(F.sum("size").alias("size"))
-    )
     kind = docs.schema["source"].dataType.simpleString()
-    cuts = pool.groupBy("source").applyInPandas(_first_fit, f"source {kind}, cut bigint, extras array<bigint>")
+    units = written(rows.groupBy("source", "u").agg(F.sum("size").alias("size")).filter("size > 0"), "mix-units")
+    wanted = table.filter("budget > 0").select("source", F.col("budget").alias("need"))
+    cuts = _first_fit(units, wanted, kind, pool, units.count())
     out = (
         table.alias("t")
         .join(cuts.alias("c"), F.expr("t.source <=> c.source"), "left")
-        # without an overshooting bucket the budget holds every document, or is zero
+        # without a document that does not fit the budget holds every one, or is zero
         .select(
-            "t.source", "source_size", "target", "whole",
-            F.coalesce("cut", F.when(F.col("budget") > 0, F.lit(1 << 52)).otherwise(F.lit(0))).alias("cut"),
-            F.coalesce("extras", F.array().cast("array<bigint>")).alias("extras"),
+            "t.source", "source_size", "target", "whole", "budget",
+            F.coalesce("cut", F.when(F.col("budget") > 0, F.lit(1 << BITS)).otherwise(F.lit(0))).alias("cut"),
+            F.coalesce("taken", F.array().cast("array<bigint>")).alias("extras"),
         )
     )
     out = written(out, "mix-plan")
-    drop_written(docs.sparkSession, rows, table)
+    drop_written(docs.sparkSession, rows, table, units)
     return out
 
 
@@ -142,12 +160,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     """``docs`` (with doc_id, text, source) as a struct ``doc`` beside ``size``, ``source_size``,
     ``target`` and ``copies``, the number of times that the mix takes the row (0 to ``max_epochs``).
 
-    Null and blank texts have size 0. Null is a source of its own, the last in order. A source of size 0
-    has target 0. Rows of one source with the same doc_id are taken together. No rows give no rows.
+    Null and blank texts have size 0 and always fit where a source has any words left to fill. Null is a source of its own, the last in order. A source of size 0 has target 0. Rows of one source
+    with the same doc_id are taken together. No rows give no rows.
     """
-    plan_ = plan(docs, weights, max_epochs, seed).withColumnsRenamed({c: f"_{c}" for c in ("source", "source_size", "target", "whole", "cut", "extras")})
-    extra = (F.col("_u") < F.col("_cut")) | F.array_contains("_extras", F.col("_u"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), word_count().alias("_size"), seeded(seed).alias("_u"))
+    plan_ = plan(docs, weights, max_epochs, seed).withColumnsRenamed({c: f"_{c}" for c in ("source", "source_size", "target", "whole", "budget", "cut", "extras")})
+    extra = (F.col("_u") < F.col("_cut")) | F.array_contains("_extras", F.col("_u")) | ((F.col("_size") == 0) & (F.col("_budget") > 0))
+    rows = docs.select(F.struct(*columns(docs)).alias("doc"), word_count().alias("_size"), seeded(seed).alias("_u"))
     return rows.join(plan_, F.col("doc.source").eqNullSafe(F.col("_source"))).select(
         "doc",
         F.col("_size").alias("size"),
@@ -158,6 +176,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as many times as ``mix`` takes it, with the same columns."""
+    """The mix itself: each row of ``docs`` as many times as ``mix`` takes it, with the same columns. Null,
+    empty and repeated texts count as in ``mix``; no rows give no rows."""
     taken = mix(docs, **options).filter("copies > 0")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
