@@ -1,7 +1,7 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
-Every run of K words of every text is hashed and joined with the K-word runs of the templates (a fixed,
-small table). A hit at word p of the text and word t of the template votes for the diagonal p - t. A
+Every run of K words of every text is hashed. Runs whose hash no template has go at once; the others are
+joined with the K-word runs of the templates (a fixed, small table). A hit at word p of the text and word t of the template votes for the diagonal p - t. A
 phrase stands where its diagonal has all its votes. Of a longer template the votes of neighbouring
 diagonals (words put in or left out) are merged into a span, and the label counts if the span covers
 enough of the template. Each hit is checked on the words themselves, so hash collisions do no harm.
@@ -14,6 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from .common import row_key, written
 
 K = 3
@@ -64,24 +65,41 @@ def _template_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return table.withColumn("h", F.xxhash64(*[F.get("gram", F.lit(i)) for i in range(K)]))
 
 
+def _lower(text: Column) -> Column:
+    """A-Z lower-cased; null is empty. In plain ASCII texts ``lower`` does the same, faster."""
+    text = F.coalesce(text, F.lit(""))
+    slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(slow)
+
+
 def words(text: str = "text") -> Column:
     """Words of a text column, A-Z lower-cased; null has none."""
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(WORD), 0)
+    return F.regexp_extract_all(_lower(F.col(text)), F.lit(WORD), 0)
 
 
-def diagonals(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(doc_id, _th, template, label, base, total, diagonal, votes, places, first, last): the votes of each
-    diagonal, the template's words that they stand for and the text's words from first to last that gave them."""
-    table = _template_table(docs.sparkSession, grams(phrases, templates))
-    rows = docs.select(*row_key(docs), words().alias("w")).select(
-        "*",
-        F.posexplode(
-            F.expr(f"transform(slice(w, 1, greatest(size(w) - {K - 1}, 0)), (x, i) -> xxhash64(x, " + ", ".join(f"get(w, i + {j})" for j in range(1, K)) + "))")
-        ).alias("p", "h"),
-    )
-    hits = rows.join(F.broadcast(table), "h").filter(F.slice("w", F.col("p") + 1, K) == F.col("gram"))
-    return hits.groupBy("doc_id", "_th", "template", "label", "base", "total", (F.col("p") - F.col("at")).alias("diagonal")).agg(
+def hits(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, _th, n_words, hits) of each row: how many words it has and, of its K-word runs, the places
+    and words of those whose hash is in ``table``. Texts are cut into words once; the work is linear in them."""
+    known = [r.h for r in table.select("h").distinct().collect()]  # at most 20,000 runs of the templates
+    run = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(K)])
+
+    def found(w: Column) -> Column:
+        places = F.when(F.size(w) >= K, F.sequence(F.lit(0), F.size(w) - K)).otherwise(F.array().cast("array<int>"))
+        some = F.filter(places, lambda i: run(w, i).isin(known))
+        near = F.transform(some, lambda i: F.struct(i.alias("p"), F.slice(w, i + 1, K).alias("words")))
+        return F.struct(F.size(w).cast("long").alias("n_words"), near.alias("hits"))
+
+    return docs.select(*row_key(docs), let(words(), found).alias("f")).select("doc_id", "_th", "f.n_words", "f.hits")
+
+
+def diagonals(found: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, _th, template, label, base, total, diagonal, votes, places, first, last) from ``hits``: the
+    votes of each diagonal, the template's words that they stand for and the text's words from first to last
+    that gave them. Rows that are copies of one another vote once."""
+    rows = found.filter(F.size("hits") > 0).select("doc_id", "_th", F.explode("hits").alias("x")).select("doc_id", "_th", "x.p", "x.words")
+    rows = rows.withColumn("h", F.xxhash64(*[F.get("words", F.lit(j)) for j in range(K)]))
+    voting = rows.join(F.broadcast(table), "h").filter(F.col("words") == F.col("gram"))
+    return voting.groupBy("doc_id", "_th", "template", "label", "base", "total", (F.col("p") - F.col("at")).alias("diagonal")).agg(
         F.count_distinct("at").alias("votes"), F.collect_set("at").alias("places"), F.min("p").alias("first"), (F.max("p") + K - 1).alias("last")
     )
 
@@ -109,7 +127,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     Words are lower-cased runs of letters and digits; null and blank texts have none. Rows that repeat
     id and text get the same results.
     """
-    voted = written(diagonals(docs, phrases, templates), "license-votes")  # few rows, used twice below
+    table = _template_table(docs.sparkSession, grams(phrases, templates))
+    rows = written(hits(docs, table), "license-hits")  # ids and the few hits of each text
+    voted = written(diagonals(rows, table), "license-votes")  # few rows, used twice below
     places = (
         voted.filter("base and votes = total")
         .groupBy("doc_id", "_th")
@@ -132,10 +152,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         )
         .alias("f")
     )
-    rows = docs.select(*row_key(docs), F.size(words()).cast("long").alias("n_words")).alias("d")
     none = F.array().cast("array<string>")
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    return rows.join(found, F.expr("d._th = f._th and d.doc_id <=> f.doc_id"), "left").select(
+    return rows.alias("d").join(found, F.expr("d._th = f._th and d.doc_id <=> f.doc_id"), "left").select(
         "d.doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         names(F.coalesce("base_labels", none)).alias("base_labels"),
         names(F.concat(F.coalesce("base_labels", none), F.coalesce("more", none))).alias("labels"),
