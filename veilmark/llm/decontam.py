@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import ALNUM_TABLE, alnum_words, map_texts, utf8
+from .common import ALNUM_TABLE, alnum_words, columns, drop_written, map_texts, utf8, written
 
 WINDOW = 10
 #: Words of items in one automaton (at most two states a word).
@@ -44,6 +46,8 @@ class Automaton:
     long_items: dict[int, tuple[int, ...]] = field(default_factory=dict)
     short_items: dict[int, tuple[tuple[int, int], ...]] = field(default_factory=dict)
     least: int = 0
+    #: Items of the same words: the first of them, which stands for all, and the others.
+    alike: dict[int, list[int]] = field(default_factory=dict)
 
     def _state(self, nexts: dict[int, int], link: int, length: int) -> int:
         self.nexts.append(nexts)
@@ -76,10 +80,15 @@ class Automaton:
     @classmethod
     def of(cls, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> "Automaton":
         a = cls(window)
-        coded = []
+        coded: list[list[int]] = []
+        seen: dict[tuple[int, ...], int] = {}
         for name, words in items:
             if words:
-                coded.append([a.vocabulary.setdefault(w, len(a.vocabulary)) for w in words])
+                tokens = [a.vocabulary.setdefault(w, len(a.vocabulary)) for w in words]
+                first = seen.setdefault(tuple(tokens), len(a.items))
+                if first < len(a.items):
+                    a.alike.setdefault(first, []).append(len(a.items))
+                coded.append(tokens if first == len(a.items) else [])
                 a.items.append(name)
         for tokens in coded:
             last = 0
@@ -88,6 +97,8 @@ class Automaton:
         long: dict[int, set[int]] = {}
         short: dict[int, set[tuple[int, int]]] = {}
         for k, tokens in enumerate(coded):
+            if not tokens:
+                continue
             if len(tokens) < window:
                 state = 0
                 for c in tokens:
@@ -105,8 +116,7 @@ class Automaton:
                 if up := short.get(a.link[s]):
                     short[s] = short.get(s, set()) | up
             a.short_items = {s: tuple(sorted(v)) for s, v in short.items()}
-        a.least = min(map(len, coded), default=0)
-        a.least = min(a.least, window)
+        a.least = min(window, min((len(tokens) for tokens in coded if tokens), default=0))
         return a
 
     def walk(self, tokens):
@@ -145,6 +155,8 @@ class Automaton:
                         found.add(item)
                         hit[start + i + 1 - n] += 1
                         hit[start + i + 1] -= 1
+        for k in found & self.alike.keys():
+            found.update(self.alike[k])
         return hit[:-1].cumsum() > 0, found
 
 
@@ -162,7 +174,10 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK):
     yield Automaton.of(items, window)
 
 
-_HITS = "starts array<int>, ends array<int>, items array<string>"
+_HITS = (
+    StructField("n_words", LongType()), StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType())),
+    StructField("items", ArrayType(StringType())),
+)
 
 
 def _spans(a: Automaton, texts: list[bytes | None]) -> tuple[list, list, list, list]:
@@ -179,18 +194,17 @@ def _spans(a: Automaton, texts: list[bytes | None]) -> tuple[list, list, list, l
     return n_words, starts, ends, items
 
 
-def _hits(rows: DataFrame, keep: list[str], automaton) -> DataFrame:
-    """``rows`` with n_words, the spans of hit words (word positions) and the items hit, by one automaton."""
+def _hits(rows: DataFrame, keep: str, automaton) -> DataFrame:
+    """Column ``keep`` of ``rows`` with n_words, the spans of hit words (word positions) and the items hit, by one automaton."""
 
     def run(batches):
         a = automaton.value
         for b in batches:
-            n_words, starts, ends, items = _spans(a, utf8(b.column(len(keep))))
+            n_words, starts, ends, items = _spans(a, utf8(b.column(1)))
             made = [pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], [*keep, "n_words", "starts", "ends", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], [keep, "n_words", "starts", "ends", "items"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return map_texts(rows.select(*keep, "text"), run, f"{kinds}, n_words bigint, {_HITS}")
+    return map_texts(rows.select(keep, "text"), run, StructType([rows.schema[keep], *_HITS]))
 
 
 def _merge(spans):
@@ -221,34 +235,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     no window. An item with a null id marks words and counts as an item with the empty id. Repeated
     rows and items change nothing.
     """
-    return _contamination(docs, _sent(benchmark, window, block))
-
-
-def _sent(benchmark: DataFrame, window: int, block: int) -> list:
-    """The automata, each bounded by ``block``, broadcast."""
-    return [benchmark.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, block)]
-
-
-def _contamination(docs: DataFrame, sent: list) -> DataFrame:
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"))
-    if len(sent) == 1:
-        found = _hits(rows, ["doc"], sent[0])
-    else:  # one pass for each automaton, over the rows of the pass before
-        from pyspark.sql.pandas.functions import pandas_udf
-
-        merged = pandas_udf(lambda spans: _merge(spans), "struct<starts array<int>, ends array<int>>")
-        found = _hits(rows, ["doc"], sent[0])
-        for a in sent[1:]:
-            more = _hits(
-                found.select(F.struct("doc", "starts", "ends", "items").alias("was"), F.col("doc.text").alias("text")), ["was"], a
-            )
-            spans = lambda s, e: F.arrays_zip(F.col(s).alias("start"), F.col(e).alias("end"))
-            both = F.concat(spans("was.starts", "was.ends"), spans("starts", "ends"))
-            found = more.select(
-                "was.doc", "n_words", merged(both).alias("m"), F.array_union("was.items", "items").alias("items")
-            ).select("doc", "n_words", "m.starts", "m.ends", "items")
+    return _contamination(docs, automata(benchmark, window, block))
+
+
+def _contamination(docs: DataFrame, every) -> DataFrame:
+    """``contamination`` by ``every`` automaton in turn. What a pass finds is written before the next one
+    begins, so that no task and no driver holds more than one automaton."""
+    spark = docs.sparkSession
+    found = None
+    for a in every:
+        sent = spark.sparkContext.broadcast(a)
+        if found is None:
+            now = _hits(docs.select(F.struct(*columns(docs)).alias("doc"), F.col("text").alias("text")), "doc", sent)
+            found = now, sent, None
+        else:
+            was, before, older = found
+            was = written(was, "decontam-pass")
+            before.destroy()
+            if older is not None:
+                drop_written(spark, older)
+            found = _joined(was, sent), sent, was
     names = F.array_sort(F.array_distinct(F.transform("items", lambda x: F.coalesce(x, F.lit("")))))
-    return found.withColumn("items", names)
+    return found[0].withColumn("items", names)
+
+
+def _joined(found: DataFrame, sent) -> DataFrame:
+    """``found`` and what another automaton finds."""
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    merged = pandas_udf(lambda spans: _merge(spans), "struct<starts array<int>, ends array<int>>")
+    more = _hits(found.select(F.struct("doc", "starts", "ends", "items").alias("was"), F.col("doc.text").alias("text")), "was", sent)
+    spans = lambda s, e: F.arrays_zip(F.col(s).alias("start"), F.col(e).alias("end"))
+    both = F.concat(spans("was.starts", "was.ends"), spans("starts", "ends"))
+    out = more.select("was.doc", "n_words", merged(both).alias("m"), F.array_union("was.items", "items").alias("items"))
+    return out.select("doc", "n_words", "m.starts", "m.ends", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -272,13 +292,15 @@ def cut_spans(text: bytes, starts: list[int], ends: list[int]) -> bytes:
     return b" ".join(out)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = 400, coverage: float = 0.5) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = 400, coverage: float = 0.5, block: int = BLOCK) -> DataFrame:
     """``docs`` without benchmark passages; all columns stay and ``n_chars``, if there is one, is counted anew.
 
     Spans of hit words are cut out of the text. A document goes as a whole if a span is longer than
-    ``most`` words or more than ``coverage`` of its words are hit. Documents without a hit stay as they are.
+    ``most`` words or more than ``coverage`` of its words are hit. Documents without a hit stay as they are,
+    so do null and blank texts and each repeated row. No items cut nothing; no rows give no rows.
     """
-    names, sent = docs.columns, _sent(benchmark, window, BLOCK)
+    names, every = docs.columns, automata(benchmark, window, block)
+    first, second = next(every), next(every, None)
     at = names.index("text")
 
     def cut(fields: list, n_words: list, starts: list, ends: list) -> pa.RecordBatch:
@@ -297,12 +319,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     def once(batches):  # one automaton: marked and cut by the same worker
         for b in batches:
-            yield cut(list(b.columns), *_spans(sent[0].value, utf8(b.column(at)))[:3])
+            fields = b.column(0).flatten()
+            yield cut(fields, *_spans(sent.value, utf8(fields[at]))[:3])
 
     def after(batches):
         for b in batches:
             yield cut(b.column(0).flatten(), *(b.column(k).to_pylist() for k in (1, 2, 3)))
 
-    if len(sent) == 1:
-        return map_texts(docs, once, docs.schema)
-    return map_texts(_contamination(docs, sent), after, docs.schema)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(first)
+        return map_texts(docs.select(F.struct(*columns(docs)).alias("doc")), once, docs.schema)
+    return map_texts(_contamination(docs, chain((first, second), every)), after, docs.schema)

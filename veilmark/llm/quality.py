@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import map_texts, utf8
+from .common import columns, map_texts, utf8
 
 #: At most so many labelled rows are learned from, those with the smallest seeded hashes.
 SAMPLE = 20_000
@@ -156,15 +157,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
 
 
 def scored(docs: DataFrame, model: Trees) -> DataFrame:
-    """``docs`` with all its columns as a struct ``doc``, and ``score`` (0 to 1)."""
+    """``docs`` with all its columns as a struct ``doc``, and ``score`` (0 to 1). Null texts score as empty
+    ones, repeated rows alike; no rows give no rows."""
 
     def run(batches):
         for b in batches:
             x = np.array([statistics(t) for t in utf8(b.column(1))], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x), pa.float64())], ["doc", "score"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"))
-    return map_texts(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, score double")
+    rows = docs.select(F.struct(*columns(docs)).alias("doc"), F.col("text").alias("text"))
+    return map_texts(rows, run, StructType([rows.schema["doc"], StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -181,5 +183,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``; all columns stay."""
+    """``docs`` without the rows that score below ``threshold``; all columns stay, and each repeated row.
+    Null texts score as empty ones; without usable labels every score is 0.5; no rows give no rows."""
     return scored(docs, fit(docs, labels, **options)).filter(F.col("score") >= threshold).select("doc.*")

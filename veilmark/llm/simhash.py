@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, map_texts, release, row_key, space_words, utf8, written
+from .common import columns, components, drop_written, fresh, map_texts, release, row_key, space_words, utf8, written
 
 #: Buckets up to this size are joined pairwise; larger ones take the exact two-wildcard way.
 BUCKET = 64
@@ -153,7 +153,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id, a row without
-    an id only where its group has no other. All columns stay. Of repeated rows one stays.
+    an id only where its group has no other. All columns stay. Null and blank texts are one group; of
+    repeated rows one stays; no rows give no rows.
     """
     return one_each(docs, *_rooted(docs, width))
 
@@ -164,7 +165,8 @@ def one_each(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
     kept = prints.groupBy("fp").agg(F.min(first).alias("k")).join(rooted, "fp").groupBy("root").agg(F.min("k").alias("k"))
     kept = written(kept.select("k.doc_id", "k._th"), "simhash-kept")
-    rows = docs.withColumn("__row_th", F.xxhash64("text")).alias("d")
-    out = rows.join(kept.alias("k"), F.expr("d.__row_th = k._th and d.doc_id <=> k.doc_id"), "left_semi")
+    th = fresh(docs, "_th")
+    rows = docs.withColumn(th, F.xxhash64("text")).alias("d")
+    out = rows.join(kept.alias("k"), F.expr(f"d.{th} = k._th and d.doc_id <=> k.doc_id"), "left_semi")
     n, distinct = prints.agg(F.count("*"), F.count_distinct(F.struct("doc_id", "_th"))).first()
-    return (out if n == distinct else out.dropDuplicates(["doc_id", "__row_th"])).select(docs.columns)
+    return (out if n == distinct else out.dropDuplicates(["doc_id", th])).select(columns(docs))
