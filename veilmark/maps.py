@@ -17,39 +17,82 @@ TAG_OF_TYPE = {
     "IP_ADDRESS": "ID",
 }
 
-# Spellings of tags by the tag they stand for. A name that is listed nowhere stands for itself.
-TAG_SPELLINGS = {
-    "NAME": "NAME PATIENT_NAME PERSON PATIENT FIRST_NAME LAST_NAME FULL_NAME DOCTOR PHYSICIAN CLINICIAN",
-    "LOCATION": "LOCATION PLACE FACILITY HOSPITAL ADDRESS CITY STATE COUNTRY CLINIC INSTITUTION GEOGRAPHIC_LOCATION",
-    "DATE": "DATE DOB VISIT_DATE ADMISSION_DATE DATE_OF_BIRTH DISCHARGE_DATE",
-    "MRN": "MRN RECORD_NUMBER MEDICAL_RECORD CHART_NUMBER MEDICAL_RECORD_NUMBER",
-    "PHONE": "PHONE TELEPHONE FAX PHONE_NUMBER FAX_NUMBER",
-    "EMAIL": "EMAIL EMAIL_ADDRESS",
-    "ID": "ID SSN IDENTIFIER SOCIAL_SECURITY ACCOUNT LICENSE SOCIAL_SECURITY_NUMBER HEALTH_PLAN DEVICE_ID ACCOUNT_NUMBER",
+# Spellings of tags and the tag that each stands for. A name that is listed nowhere stands for itself.
+TAG_OF_SPELLING = {
+    "NAME": "NAME",
+    "PATIENT_NAME": "NAME",
+    "PERSON": "NAME",
+    "PATIENT": "NAME",
+    "FIRST_NAME": "NAME",
+    "LAST_NAME": "NAME",
+    "FULL_NAME": "NAME",
+    "DOCTOR": "NAME",
+    "PHYSICIAN": "NAME",
+    "CLINICIAN": "NAME",
+    "LOCATION": "LOCATION",
+    "PLACE": "LOCATION",
+    "FACILITY": "LOCATION",
+    "HOSPITAL": "LOCATION",
+    "ADDRESS": "LOCATION",
+    "CITY": "LOCATION",
+    "STATE": "LOCATION",
+    "COUNTRY": "LOCATION",
+    "CLINIC": "LOCATION",
+    "INSTITUTION": "LOCATION",
+    "GEOGRAPHIC_LOCATION": "LOCATION",
+    "DATE": "DATE",
+    "DOB": "DATE",
+    "VISIT_DATE": "DATE",
+    "ADMISSION_DATE": "DATE",
+    "DATE_OF_BIRTH": "DATE",
+    "DISCHARGE_DATE": "DATE",
+    "MRN": "MRN",
+    "RECORD_NUMBER": "MRN",
+    "MEDICAL_RECORD": "MRN",
+    "CHART_NUMBER": "MRN",
+    "MEDICAL_RECORD_NUMBER": "MRN",
+    "PHONE": "PHONE",
+    "TELEPHONE": "PHONE",
+    "FAX": "PHONE",
+    "PHONE_NUMBER": "PHONE",
+    "FAX_NUMBER": "PHONE",
+    "EMAIL": "EMAIL",
+    "EMAIL_ADDRESS": "EMAIL",
+    "ID": "ID",
+    "SSN": "ID",
+    "IDENTIFIER": "ID",
+    "SOCIAL_SECURITY": "ID",
+    "ACCOUNT": "ID",
+    "LICENSE": "ID",
+    "SOCIAL_SECURITY_NUMBER": "ID",
+    "HEALTH_PLAN": "ID",
+    "DEVICE_ID": "ID",
+    "ACCOUNT_NUMBER": "ID",
 }
-TAG_OF_SPELLING = {s: tag for tag, spellings in TAG_SPELLINGS.items() for s in spellings.split()}
 
 # Names that a tag may hold, in the order in which they are tried.
 TAG_NAMES = (
-    "NAME PATIENT_NAME PERSON PATIENT FIRST_NAME LAST_NAME FULL_NAME DOCTOR PHYSICIAN CLINICIAN "
-    "LOCATION PLACE FACILITY HOSPITAL ADDRESS CITY STATE COUNTRY CLINIC INSTITUTION GEOGRAPHIC_LOCATION "
-    "DATE DOB VISIT_DATE ADMISSION_DATE DATE_OF_BIRTH DISCHARGE_DATE "
-    "MRN RECORD_NUMBER MEDICAL_RECORD CHART_NUMBER MEDICAL_RECORD_NUMBER "
-    "PHONE TELEPHONE FAX PHONE_NUMBER FAX_NUMBER EMAIL EMAIL_ADDRESS "
-    "ID SSN IDENTIFIER SOCIAL_SECURITY SOCIAL_SECURITY_NUMBER "
-    "ACCOUNT LICENSE HEALTH_PLAN DEVICE_ID ACCOUNT_NUMBER AGE URL REDACTED REMOVED PHI"
-).split()
+    "NAME", "PATIENT_NAME", "PERSON", "PATIENT", "FIRST_NAME", "LAST_NAME", "FULL_NAME", "DOCTOR", "PHYSICIAN",
+    "CLINICIAN", "LOCATION", "PLACE", "FACILITY", "HOSPITAL", "ADDRESS", "CITY", "STATE", "COUNTRY", "CLINIC",
+    "INSTITUTION", "GEOGRAPHIC_LOCATION", "DATE", "DOB", "VISIT_DATE", "ADMISSION_DATE", "DATE_OF_BIRTH",
+    "DISCHARGE_DATE", "MRN", "RECORD_NUMBER", "MEDICAL_RECORD", "CHART_NUMBER", "MEDICAL_RECORD_NUMBER", "PHONE",
+    "TELEPHONE", "FAX", "PHONE_NUMBER", "FAX_NUMBER", "EMAIL", "EMAIL_ADDRESS", "ID", "SSN", "IDENTIFIER",
+    "SOCIAL_SECURITY", "SOCIAL_SECURITY_NUMBER", "ACCOUNT", "LICENSE", "HEALTH_PLAN", "DEVICE_ID", "ACCOUNT_NUMBER",
+    "AGE", "URL", "REDACTED", "REMOVED", "PHI",
+)
 
 # Tags that stand for any type.
 GENERIC_TAGS = ("UNKNOWN", "REDACTED", "REMOVED", "PHI")
 
 # Words left out of token overlaps.
 STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might shall can "
-    "to of in for on with at by from as into through during before after above below between out off over under "
-    "again further then once and but or nor not so if than that this these those it its he she they we you his her "
-    "their our your what which who whom when where why how"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "shall", "can", "to", "of", "in", "for", "on", "with", "at",
+    "by", "from", "as", "into", "through", "during", "before", "after", "above", "below", "between", "out", "off",
+    "over", "under", "again", "further", "then", "once", "and", "but", "or", "nor", "not", "so", "if", "than",
+    "that", "this", "these", "those", "it", "its", "he", "she", "they", "we", "you", "his", "her", "their", "our",
+    "your", "what", "which", "who", "whom", "when", "where", "why", "how",
+)
 
 # Capitalised pairs of words that are no names.
 NO_NAMES = (
@@ -59,9 +102,9 @@ NO_NAMES = (
 
 # Clinical terms that should never be tagged.
 CLINICAL_TERMS = (
-    "diabetes copd ms afib gerd hypertension cancer asthma nsclc chf cad ckd "
-    "metformin lisinopril atorvastatin aspirin surgery bypass hysterectomy chemotherapy"
-).split()
+    "diabetes", "copd", "ms", "afib", "gerd", "hypertension", "cancer", "asthma", "nsclc", "chf", "cad", "ckd",
+    "metformin", "lisinopril", "atorvastatin", "aspirin", "surgery", "bypass", "hysterectomy", "chemotherapy",
+)
 # What gives away examples and explanations around a tag.
 EXAMPLE_TERMS = ("for example", "such as", "e.g.", "like")
 EXPLAINING_TERMS = ("replaced", "de-identified", "redacted", "removed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Field names of the file formats.
 PHI = "array<struct<identifier_type string, value string>>"
 QUERY = f"query_id string, query_text string, phi_tags {PHI}, phi_count int, is_negative boolean"
 METADATA = (
@@ -9,7 +10,13 @@ METADATA = (
     "negative_queries bigint, total_phi_elements bigint, phi_type_distribution map<string, bigint>, "
     "query_complexity_distribution map<string, bigint>"
 )
-ENVELOPE = f"metadata struct<{METADATA.replace(' string', ': string').replace(' bigint,', ': bigint,').replace(' map<', ': map<')}>, queries array<struct<query_id: string, query_text: string, phi_tags: array<struct<identifier_type: string, value: string>>, phi_count: int, is_negative: boolean>>"
+ENVELOPE = (
+    "metadata struct<dataset: string, version: string, source_file: string, total_queries: bigint, positive_queries: bigint, "
+    "negative_queries: bigint, total_phi_elements: bigint, phi_type_distribution: map<string, bigint>, "
+    "query_complexity_distribution: map<string, bigint>>, "
+    "queries array<struct<query_id: string, query_text: string, phi_tags: array<struct<identifier_type: string, value: string>>, "
+    "phi_count: int, is_negative: boolean>>"
+)
 #: One line of a responses file; model, prompt, run and seq are added by the reader.
 RESPONSE = (
     "query_id string, model_name string, model_version string, prompt_style string, run_number int, "
