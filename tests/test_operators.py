@@ -1,5 +1,7 @@
 """Scoring, aggregation, statistics and runs."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -103,6 +105,7 @@ def test_mcnemar(spark):
     assert (same.statistic, same.p_value, same.cohens_g) == (0.0, 1.0, 0.0)
     even = stats.mcnemar(*paired(spark, [True] * 3 + [False] * 3 + [True] * 6, [False] * 3 + [True] * 3 + [True] * 6)).first()
     assert even.statistic == 0.1667 and even.a_only == even.b_only == 3
+    assert even.p_value == pytest.approx(math.erfc(math.sqrt(1 / 12)), abs=1e-6) and even.cohens_g_standard == 0.0
 
 
 def test_cochran_q(spark):

@@ -202,6 +202,14 @@ def _log() -> str:
                          case when c = 0 or run < 3 then 'same' else 'changed' end, null from configs, (values (0), (1052)) as t(c))"""
 
 
+def _upper_tail(x: str, df: str) -> str:
+    """The chi-square distribution's upper tail at ``x``: Simpson's rule over the density of its root, 2,000 steps."""
+    at = f"(sqrt({x}) * i / 2000)"
+    weight = "(case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end)"
+    area = f"list_sum(list_transform(range(2001), lambda i: {weight} * pow({at}, {df} - 1) * exp(-{at} * {at} / 2))) * sqrt({x}) / 6000"
+    return f"round(greatest(0, 1 - {area} / (pow(2, ({df})::double / 2 - 1) * gamma(({df})::double / 2))), 6)::double"
+
+
 def _mcnemar(paired: str, contrasts: str) -> str:
     return f"""{paired},
     contrasts(comparison, a, b) as (values {contrasts}),
@@ -209,11 +217,15 @@ def _mcnemar(paired: str, contrasts: str) -> str:
         select comparison, a, b, count(y.ok)::bigint as n, count(*) filter (x.ok and y.ok) as both_correct, count(*) filter (x.ok and not y.ok) as a_only,
                count(*) filter (not x.ok and y.ok) as b_only, count(*) filter (not x.ok and not y.ok) as both_wrong
         from contrasts join outcomes x on x.config = a left join outcomes y on y.config = b and y.query_id = x.query_id
-        where b in (select config from outcomes) group by comparison, a, b)
+        where b in (select config from outcomes) group by comparison, a, b),
+    tested as (
+        select *, case when a_only + b_only = 0 then 0 else (abs(a_only - b_only) - 1) ** 2 / (a_only + b_only) end::double as x,
+               case when a_only + b_only = 0 then 0 else (a_only - b_only)::double / (a_only + b_only) end as g from counted)
     select comparison, a, b, n, both_correct, a_only, b_only, both_wrong,
            case when n >= 10 then round(case when a_only + b_only = 0 then 0 else (abs(a_only - b_only) - 1) ** 2 / (a_only + b_only) end, 4)::double end as statistic,
            case when n >= 10 then round(case when a_only + b_only = 0 then 0 else (a_only - b_only)::double / (a_only + b_only) end, 4)::double end as cohens_g,
-           case when n < 10 then 'insufficient_shared_queries' end as error from counted"""
+           case when n >= 10 then {_upper_tail("x", "1")} end as p_value, case when n >= 10 then round_even(g / 2, 4)::double end as cohens_g_standard,
+           case when n < 10 then 'insufficient_shared_queries' end as error from tested"""
 
 
 def _cochran(paired: str, families: str) -> str:
@@ -224,10 +236,12 @@ def _cochran(paired: str, families: str) -> str:
     wholes_ as (select family, count(*) as n, sum(t)::bigint as t, sum(t * t)::bigint as tt from shared group by family),
     columns_ as (
         select family, sum(c * c)::bigint as cc from (select family, config, count(*) as c from shared join families using (family) join outcomes using (config, query_id) where ok group by family, config) group by family),
-    q as (select family, k, coalesce(n, 0) as n, coalesce(t, 0) as t, coalesce(tt, 0) as tt, coalesce(cc, 0) as cc from sizes left join wholes_ using (family) left join columns_ using (family))
+    q as (select family, k, coalesce(n, 0) as n, coalesce(t, 0) as t, coalesce(tt, 0) as tt, coalesce(cc, 0) as cc from sizes left join wholes_ using (family) left join columns_ using (family)),
+    tested as (select *, case when k * t = tt then 0 else (k - 1) * (k * cc - t * t)::double / (k * t - tt) end::double as x from q)
     select family, k as configs, n, case when k >= 2 and n >= 10 then round(case when k * t = tt then 0 else (k - 1) * (k * cc - t * t)::double / (k * t - tt) end, 4) end as statistic,
            case when k >= 2 and n >= 10 then k - 1 end as df,
-           case when k < 2 then 'need_at_least_2_configs' when n < 10 then 'insufficient_shared_queries' end as error from q"""
+           case when k >= 2 and n >= 10 then {_upper_tail("x", "k - 1")} end as p_value,
+           case when k < 2 then 'need_at_least_2_configs' when n < 10 then 'insufficient_shared_queries' end as error from tested"""
 
 
 _UNITS = f"""{SCORES},

@@ -147,7 +147,7 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     contrasts = spark.createDataFrame(CONTRASTS, "comparison string, a string, b string")
-    return _rounded(stats.mcnemar(_paired(spark, sf_dir), contrasts).drop("p_value", "cohens_g_standard"))
+    return _rounded(stats.mcnemar(_paired(spark, sf_dir), contrasts))
 
 
 def mcnemar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,12 +155,12 @@ def mcnemar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     each = labels.select("doc_id", F.explode(F.map_from_arrays(F.array(F.lit("quality"), F.lit("clean")), F.array(F.col("quality"), 1 - F.col("toxic")))).alias("config", "x"))
     paired = each.select("config", F.col("doc_id").cast("string").alias("query_id"), (F.col("x") == 1).alias("ok"))
-    return _rounded(stats.mcnemar(paired, spark.createDataFrame([("labels", "quality", "clean")], "comparison string, a string, b string")).drop("p_value", "cohens_g_standard"))
+    return _rounded(stats.mcnemar(paired, spark.createDataFrame([("labels", "quality", "clean")], "comparison string, a string, b string")))
 
 
 def cochran_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = spark.createDataFrame([(f, c) for f, cs in FAMILIES.items() for c in cs], "family string, config string")
-    return _rounded(stats.cochran_q(_paired(spark, sf_dir), families).drop("p_value"))
+    return _rounded(stats.cochran_q(_paired(spark, sf_dir), families))
 
 
 def cochran_q_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def cochran_q_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = events.select("user_id", "event_type").distinct().withColumn("seen", F.lit(True))
     grid = users.crossJoin(F.broadcast(types))  # the five types of events for each user
     paired = grid.join(seen, ["user_id", "event_type"], "left").select(F.col("event_type").alias("config"), F.col("user_id").cast("string").alias("query_id"), F.coalesce("seen", F.lit(False)).alias("ok"))
-    return _rounded(stats.cochran_q(paired, types.select(F.lit("events").alias("family"), F.col("event_type").alias("config"))).drop("p_value"))
+    return _rounded(stats.cochran_q(paired, types.select(F.lit("events").alias("family"), F.col("event_type").alias("config"))))
 
 
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
