@@ -11,7 +11,8 @@ Every window picks, among the symbols whose deciding words lie inside it, the on
 scrambled name. Equal windows pick equal symbols at equal offsets, so a window can be repeated only if
 its symbol is shared. One row goes to the shuffle for each *picked symbol* (about one in a dozen words),
 with a hash of all words that its windows cover: where these agree in all occurrences, all its windows
-are repeated. The rest, the edges of repeats, is settled window by window with 128 bits of hash.
+are repeated. The rest, the edges of repeats, is settled window by window with 128 bits of hash:
+two polynomials, each over word hashes of its own.
 Windows in which no symbol is decided (long runs of one word) go straight to that last step.
 """
 
@@ -101,8 +102,12 @@ def _least(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), np.uint64, len(words))
+def _word_hashes(words: list[bytes], digest=xxhash.xxh64_intdigest) -> np.ndarray:
+    return np.fromiter(map(digest, words, repeat(7)), np.uint64, len(words))
+
+
+#: Hashes of words, one for each polynomial: words that agree in one of them by chance differ in the other.
+_DIGESTS = (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest)
 
 
 def _picked(texts: list[list[bytes]], width: int, salt: int):
@@ -110,13 +115,14 @@ def _picked(texts: list[list[bytes]], width: int, salt: int):
     sizes = np.array([len(w) for w in texts])
     starts = np.concatenate(([0], np.cumsum(sizes + 1))) + 1  # a sentinel before each text and at the end
     n = int(starts[-1])
-    h = np.empty(n, np.uint64)
+    h = np.empty((2, n), np.uint64)
     gaps = starts - 1
-    h[gaps] = _mix(np.arange(len(gaps), dtype=np.uint64) + np.uint64(salt))
+    h[:, gaps] = _mix(np.arange(len(gaps), dtype=np.uint64) + np.uint64(salt))
     for a, w in zip(starts.tolist(), texts):
-        h[a : a + len(w)] = _word_hashes(w)
-    name, st, dl, dr = recompress(h)
-    one, two = _Ranges(h, _P1), _Ranges(h, _P2)
+        for row, digest in zip(h, _DIGESTS):
+            row[a : a + len(w)] = _word_hashes(w, digest)
+    name, st, dl, dr = recompress(h[0])
+    one, two = _Ranges(h[0], _P1), _Ranges(h[1], _P2)
     # windows that lie in one text
     text_of = np.repeat(np.arange(len(texts)), np.maximum(sizes - width + 1, 0))
     counts = np.maximum(sizes - width + 1, 0)
@@ -176,8 +182,8 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
                 ws = np.unique(ws.values.to_numpy(zero_copy_only=False))
                 p = np.repeat(ws // 64, ws % 64 + 1)
                 p = p + np.arange(len(p)) - np.repeat(np.cumsum(ws % 64 + 1) - (ws % 64 + 1), ws % 64 + 1)
-                h = _word_hashes(space_words(text))
-                hs = [_mix(_Ranges(h, base).of(p, p + width)).view(np.int64) for base in (_P1, _P2)]
+                words = space_words(text)
+                hs = [_mix(_Ranges(_word_hashes(words, digest), base).of(p, p + width)).view(np.int64) for digest, base in zip(_DIGESTS, (_P1, _P2))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), rid)), pa.array(p * 64), *map(pa.array, hs)], ["rid", "w", "h1", "h2"])
 
     return map_texts(rows.select("rid", "text", "ws"), run, "rid bigint, w bigint, h1 bigint, h2 bigint")
