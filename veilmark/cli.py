@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 import argparse
+import logging
+import sys
+import time
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import maps
+from .functions.text import filled
 from .operators import analysis, evaluate, runs
 from .sources import clients, files
 
+log = logging.getLogger("veilmark")
+
+
+def set_up_logging(path: str | None = None, level: int = logging.INFO) -> None:
+    """Log of the driver to standard output, and to a file if one is named."""
+    handlers: list[logging.Handler] = [logging.StreamHandler(sys.stdout)]
+    if path:
+        handlers.append(logging.FileHandler(path, encoding="utf-8"))
+    for h in handlers:
+        h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.handlers, log.propagate = handlers, False
+    log.setLevel(level)
+
 
 def split(spark: SparkSession, a: argparse.Namespace) -> None:
     gold = files.read_delimited(spark, a.source)
@@ -18,27 +37,67 @@ def split(spark: SparkSession, a: argparse.Namespace) -> None:
     files.complexity_histogram(gold).show()
 
 
-def run(spark: SparkSession, a: argparse.Namespace) -> None:
-    gold = files.read_dataset(spark, a.gold)
-    templates = files.read_config(spark, a.prompts)
-    prompt = files.by_slug([v for k, v in templates.items() if not k.startswith("_")], a.prompt)
-    client = clients.retrying(clients.http_client(a.host, a.model, a.timeout)) if a.host else clients.rule_client
+def _run_one(spark: SparkSession, a: argparse.Namespace, gold: DataFrame, model: str, prompt: dict, number: int, client: clients.Client, params: dict, canary: str | None) -> None:
+    """Append the answers that one (model, prompt, run) still lacks."""
+    log.info("%s / %s / run %d", model, prompt["slug"], number)
     try:
         done = files.read_log(spark, a.output).select("model", "prompt", "run", "query_id", "seq")
         start = done.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1
-    except Exception as e:  # no log yet
+    except AnalysisException as e:  # no log yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done, start = None, 0
-    rows = clients.run_log(gold, done, a.model, prompt, a.run, client, canary=a.canary)
+    rows = clients.run_log(gold, done, model, prompt, number, client, params, canary)
     # calls are made once: the order of the log is that of the written rows
     files.append_responses(rows.withColumn("seq", F.monotonically_increasing_id() + start), a.output)
 
 
+def run(spark: SparkSession, a: argparse.Namespace) -> None:
+    """One (model, prompt, run), or with --all every model with every prompt and run of the configuration.
+
+    The configurations are few and go one after another, as a server holds one model; the queries of each
+    are distributed. Without --include-ablations --all takes the primary prompts only.
+    """
+    gold = files.read_dataset(spark, a.gold)
+    prompts = [v for k, v in files.read_config(spark, a.prompts).items() if not k.startswith("_")]
+    models = files.read_config(spark, a.models)["models"] if a.models else [{"slug": a.model}]
+    config = files.read_config(spark, a.params) if a.params else {}
+    execution, canary = config.get("execution", {}), a.canary or config.get("canary", {}).get("query")
+    if a.all:
+        prompts = [p for p in prompts if a.include_ablations or p["slug"] in maps.PRIMARY_PROMPTS]
+        numbers = range(1, execution.get("runs_per_config", 3) + 1)
+    else:
+        prompts, models, numbers = [files.by_slug(prompts, a.prompt)], [files.by_slug(models, a.model)], [a.run]
+    for model in models:
+        tag, pause = model.get(maps.MODEL_TAG, model["slug"]), execution.get("cooldown_between_models_seconds", 0)
+        client = clients.retrying(clients.http_client(a.host, tag, a.timeout)) if a.host else clients.rule_client
+        for prompt in prompts:
+            params = files.parameters(config.get("default", {}), config.get("model_overrides", {}).get(model["slug"]), prompt.get("parameters"))
+            if a.all and a.host:
+                template = prompt.get("user_template") or prompt.get("pass1_user_template")
+                first = gold.select(F.lit(prompt.get("system_prompt", "")).alias("system"), filled(F.lit(template), F.col("query_text")).alias("user"))
+                clients.warm_up(client, first, execution.get("warmup_queries", 10), params)
+            for number in numbers:
+                _run_one(spark, a, gold, model["slug"], prompt, number, client, params, canary)
+            if a.all and a.host:
+                clients.unload(a.host, tag)
+        if a.all and a.host:
+            time.sleep(pause)
+
+
+def repair(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A new version of a log, with the two-pass records repaired whose list could not be read at first."""
+    if a.output.rstrip("/") == a.responses.rstrip("/"):
+        raise SystemExit("--output must be another path than --responses: a log is never written over")
+    fixed = runs.repair_two_pass(files.read_log(spark, a.responses), files.read_dataset(spark, a.gold), a.whole_prompt)
+    files.append_responses(fixed.drop("position", "repair"), a.output)
+    runs.repair_counts(fixed).orderBy(*runs.LOG).show(truncate=False)
+
+
 def score(spark: SparkSession, a: argparse.Namespace) -> None:
     responses = files.read_responses(spark, a.responses) if a.layout == "files" else files.read_log(spark, a.responses)
     for column in ("model", "prompt"):
-        if getattr(a, column):
+        if getattr(a, column) and not a.all:
             responses = responses.filter(F.col(column) == getattr(a, column))
     files.write_scores(evaluate.score(responses, files.read_dataset(spark, a.gold)), f"{a.output}/scores")
     scores = spark.read.parquet(f"{a.output}/scores")
@@ -71,11 +130,13 @@ def parser() -> argparse.ArgumentParser:
 
     gold, output, responses = ("--gold", {"required": True}), ("--output", {"required": True}), ("--responses", {"required": True})
     command("split", split, ("--source", {"required": True}), output)
+    yes, log_file = {"action": "store_true"}, ("--log-file", {})
     command(
-        "run", run, gold, output, ("--prompts", {"required": True}), ("--prompt", {"required": True}), ("--model", {"required": True}), ("--run", {"type": int, "default": 1}),
-        ("--host", {}), ("--timeout", {"type": float, "default": 120}), ("--canary", {}),
+        "run", run, gold, output, log_file, ("--prompts", {"required": True}), ("--prompt", {}), ("--model", {}), ("--run", {"type": int, "default": 1}), ("--all", yes), ("--include-ablations", yes),
+        ("--models", {}), ("--params", {}), ("--host", {}), ("--timeout", {"type": float, "default": 120}), ("--canary", {}),
     )
-    command("score", score, gold, responses, output, ("--layout", {"choices": ("files", "log"), "default": "files"}), ("--model", {}), ("--prompt", {}))
+    command("repair", repair, gold, responses, output, log_file, ("--whole-prompt", yes))
+    command("score", score, gold, responses, output, log_file, ("--layout", {"choices": ("files", "log"), "default": "files"}), ("--model", {}), ("--prompt", {}), ("--all", yes))
     command("analyse", analyse, output, ("--prompt", {}), ("--model", {}), ("--contrast", {"action": "append", "default": []}), ("--n-bootstrap", {"type": int, "default": 10_000}))
     command("pilot", pilot, gold, responses, output, ("--n-queries", {"type": int, "default": 100}))
     return out
@@ -83,6 +144,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
+    if a.call is run and not (a.models if a.all else a.model and a.prompt):
+        raise SystemExit("run takes --model and --prompt, or --all and --models")
+    set_up_logging(getattr(a, "log_file", None))
     a.call(SparkSession.builder.appName("veilmark").getOrCreate(), a)
 
 

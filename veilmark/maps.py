@@ -130,3 +130,7 @@ RATIO_LOW, RATIO_HIGH, APPENDED = 0.80, 1.20, 1.3
 EXPANDED = 1.2
 TARGET_RECALL, TARGET_OVER_REDACTION = 95.0, 10.0
 INFERENCES_A_CONFIGURATION = 3153
+
+# The prompts that are no ablations, and the field of a model's name on its server.
+PRIMARY_PROMPTS = ("zero-shot-minimal", "zero-shot-structured", "few-shot", "two-pass")
+MODEL_TAG = "ollama_tag"

@@ -87,6 +87,16 @@ def http_client(url: str, model: str, timeout: float = 120) -> Client:
     return call
 
 
+def unload(url: str, model: str, timeout: float = 30) -> bool:
+    """Ask a chat server to drop a model from memory; whether it answered. A server that does not is no error."""
+    body = json.dumps({"model": model, "keep_alive": 0}).encode()
+    try:
+        with urllib.request.urlopen(urllib.request.Request(f"{url}/api/generate", body, {"Content-Type": "application/json"}), timeout=timeout):
+            return True
+    except (OSError, ValueError):
+        return False
+
+
 def retrying(client: Client, retries: int = 2, pause: float = 2.0) -> Client:
     """Up to ``retries`` more calls after an error, with growing pauses; the last reply counts."""
 
