@@ -128,17 +128,18 @@ def _best(ids: np.ndarray, rows: np.ndarray, cell: np.ndarray, q_ids: np.ndarray
     score[~allowed[:, code] | (q_ids[:, None] == ids[None, :])] = -np.inf
     if len(ids) > k:
         edge = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-        hit = score >= edge[:, None]
+        # the product may differ from the exact score in its last bits: all near the edge are scored anew
+        margin = 4 * rows.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(rows, axis=1).max()
+        hit = score >= (edge - np.where(np.isfinite(margin), margin, 0))[:, None]
     else:
         hit = np.ones_like(score, bool)
     at, row = np.nonzero(hit & (score > -np.inf))
-    value = score[at, row]
+    value = np.einsum("ij,ij->i", q[at], rows[row])
     order = np.lexsort((ids[row], -value, at))
     at, row, value = at[order], row[order], value[order]
     place = np.arange(len(at)) - np.searchsorted(at, at)
     keep = place < k
-    at, row = at[keep], row[keep]
-    return q_ids[at], ids[row], np.einsum("ij,ij->i", q[at], rows[row])
+    return q_ids[at[keep]], ids[row[keep]], value[keep]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, **options) -> DataFrame:
