@@ -266,6 +266,52 @@ def _direct() -> str:
     return f"with {GOLD}, {', '.join(steps)} select query_id, t as answer from s{len(steps) - 1}"
 
 
+_strip = lambda x: rf"regexp_replace({x}, '^[\pZ\s]+|[\pZ\s]+$', '', 'g')"
+_split = lambda x: rf"list_filter(string_split_regex({x}, '[\pZ\s]+'), lambda w: w <> '')"
+#: Item lists in answers, read as lists of (text, type): null where nothing can be read.
+ANSWERS = rf"""{GOLD},
+    itemised as (select query_id, list(json_object('text', value, 'type', type)::varchar order by idx) as items from phi group by query_id),
+    answers as (
+        select query_id, query_text, case key % 8
+                   when 0 then '[' || array_to_string(items, ',') || ']' when 1 then array_to_string(items, chr(10)) when 2 then '```json' || chr(10) || '[' || array_to_string(items, ', ') || ']' || chr(10) || '```'
+                   when 3 then array_to_string(items, ', ') when 4 then 'Found: ' || array_to_string(items, chr(10)) || ' - done' when 5 then 'No PHI found' when 6 then 'sorry' end as raw
+        from (select gold.*, coalesce(items, []) as items from gold left join itemised using (query_id))),
+    bare as (select *, {_strip(rf"regexp_replace({_strip('raw')}, '```(json)?\s*', '', 'g')")} as t from answers),
+    formed as (
+        select *, list_filter([t, '[' || t || ']', '[' || regexp_replace(t, '\}}\s*\{{', '}},{{', 'g') || ']'], lambda f: case when json_valid(f) then json_type(f) = 'ARRAY' else false end)[1] as form,
+               list_filter(regexp_extract_all(t, '\{{[^{{}}]*\}}'), lambda f: json_valid(f)) as alone from bare),
+    objects as (
+        select *, case when t in ({_quoted(maps.NOTHING_FOUND)}) then [] when form is not null then json_extract(form, '$[*]') when len(alone) > 0 then list_transform(alone, lambda f: f::json) end as each from formed),
+    parsed as (
+        select query_id, query_text, raw, list_transform(list_filter(each, lambda o: json_type(o) = 'OBJECT' and json_exists(o, '$.text') and json_exists(o, '$.type')),
+                                                         lambda o: {{'text': o ->> '$.text', 'type': o ->> '$.type'}}) as items from objects)"""
+
+
+def _sections() -> str:
+    """The answer in a response of several sections, and how it was found."""
+    content = lambda x: f"list_filter(list_distinct({_split(f'lower({x})')}), lambda w: w not in ({_quoted(maps.STOP_WORDS)}))"
+    tagged = lambda x: "(" + " or ".join(f"regexp_matches({x}, '{rx.replace('(?iu)', '(?i)')}')" for _, rx, _ in NOTATIONS) + ")"
+    share = lambda x: f"coalesce(len(list_intersect(content, {content(x)}))::double / nullif(len(content), 0), 0)"
+    like = lambda x: f"({share(x)} > 0.4 and ({share(x)} > 0.85 or {tagged(x)}))"
+    often = lambda n: f"(len(words) >= {3 * n} and list_max(map_values(list_aggregate(list_transform(range(1, len(words) - {n} + 1), lambda i: array_to_string(words[i:i + {n - 1}], ' ')), 'histogram'))) >= 3)"
+    return rf"""with {RESPONSES},
+        made as (
+            select query_id, query_text, case key % 3 when 0 then 'STEP 1: none' || chr(10) || 'OUTPUT: ' when 1 then 'I read it.' || chr(10) || chr(10) else '' end || coalesce(output, '') as raw
+            from responses where model = 'alpha' and prompt = 'few-shot' and run = 1),
+        stripped as (select query_id, {_strip("raw")} as t, {content("query_text")} as content from made),
+        cut as (
+            select *, list_filter(list_transform([{_quoted(maps.SECTION_MARKERS)}], lambda m: case when contains(t, m) then {_strip("string_split(t, m)[-1]")} end), lambda x: x <> '')[1] as section,
+                   list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {_strip("x")}), lambda x: x <> '') as paragraphs, {_split("t")} as words, string_split(t, chr(10)) as lines from stripped),
+        chosen as (select *, list_filter(paragraphs, lambda x: {like("x")})[-1] as paragraph from cut),
+        named as (
+            select *, case when t = '' then 'empty' when section is not null then case when {like("section")} then 'clean' else 'minor_format' end when paragraph is not null then 'output_only'
+                when len(lines) >= 3 and (len(list_filter(range(1, len(lines) - 1), lambda i: lines[i] = lines[i + 1] and lines[i] = lines[i + 2] and length({_strip("lines[i]")}) > 5)) > 0
+                     or {often(10)} or {often(20)} or {often(30)}) then 'repetition'
+                when len(words) > 200 and not regexp_matches(t, '[.?!\]>]$') then 'truncated'
+                when length(regexp_replace(t, '[\x00-\x7F]', '', 'g'))::double / length(t) > 0.1 then 'garbage' else 'section_bleed' end as status from chosen)
+        select query_id, case when status in ('clean', 'minor_format') then section when status = 'output_only' then paragraph when status = 'section_bleed' then t else '' end as answer, status from named"""
+
+
 def _best() -> str:
     up = {"t1_recall_mean": "desc", "t2_recall_mean": "desc", "t3_pass_mean": "desc", "t3_similarity_mean": "desc", "specificity_mean": "desc", "latency_mean_ms": "asc"}
     parts = [f"(select '{m}' as metric, model, prompt, round({m}, 10)::double as value from evaluation order by round({m}, 10) {d}, model, prompt limit 1)" for m, d in up.items()]
@@ -335,7 +381,16 @@ ORACLE_SQL: dict[str, str] = {
             select model, prompt, 'recall' as metric, recall as v from metrics union all select model, prompt, 'precision', precision_ from metrics
             union all select model, prompt, 'f1', 2 * recall * precision_ / (recall + precision_) from metrics union all select model, prompt, 'specificity', specificity from metrics)
         select model, prompt, metric, round(avg(v), 10) as mean, round(quantile_cont(v, 0.025), 10) as ci_lower, round(quantile_cont(v, 0.975), 10) as ci_upper from long group by model, prompt, metric""",
+    "phi_json_parse": f"with {ANSWERS} select query_id, len(items)::int as n_items, array_to_string(list_transform(items, lambda x: x.text), '|') as texts from parsed",
+    "two_pass_repair": f"""with {ANSWERS},
+        found as (select query_id, query_text, case when raw <> '' then items end as items from parsed),
+        ordered as (select *, list_sort(list_transform(items, lambda x, i: {{'k': -length(x.text), 'i': i, 'v': x.text, 't': '[' || upper(x.type) || ']'}})) as longest from found),
+        folded as (
+            select *, list_reduce(list_prepend({{'v': '', 't': query_text}}, list_transform(longest, lambda x: {{'v': x.v, 't': x.t}})), lambda a, b: {{'v': '', 't': case when b.v = '' then a.t else replace(a.t, b.v, b.t) end}}).t as redacted from ordered)
+        select query_id, case when items is not null then redacted end as raw_output, case when items is null then 'json_parse_failure' end as error,
+               case when len(items) = 0 then 'reprocessed_empty' when items is not null then 'reprocessed_fixed' end as parse_status, case when items is null then 'still_broken' else 'fixed' end as repair from folded""",
     "direct_parse": _direct(),
+    "cot_extract": _sections(),
     "runaway_turns": r"""with turns as (
             select u.conv_id, u.turn, u.text as query, a.text as output from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'),
         sets as (select *, list_distinct(list_filter(string_split_regex(lower(query), '[\pZ\s]+'), lambda w: w <> '')) as q, list_distinct(list_filter(string_split_regex(lower(output), '[\pZ\s]+'), lambda w: w <> '')) as o from turns)
