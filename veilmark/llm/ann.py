@@ -24,7 +24,8 @@ from .common import written
 
 #: Numbers (vectors times dimensions) that the sample may hold.
 SAMPLE = 1_000_000
-CENTROIDS = 32
+#: Centroids of each half at most: the cells are counted on the driver.
+CENTROIDS = 256
 BLOCK = 4096
 #: Share of the sample's true neighbours that the walk must pass.
 RECALL = 0.97
@@ -38,6 +39,13 @@ def usable(vector: str) -> Column:
     return F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def centroids_for(rows: int) -> int:
+    """Centroids of each half for a table: with the root of its rows, so that walking the cells costs a
+    query less than ranking what they hold."""
+    root = rows**0.5
+    return max(1, min(CENTROIDS, int(max(min(32, root / 2), root / 4))))
+
+
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
@@ -95,9 +103,9 @@ class MultiIndex:
         return out
 
     @classmethod
-    def fit(cls, x: np.ndarray, centroids: int = CENTROIDS, recall: float = RECALL, k: int = 20, seed: int = SEED) -> "MultiIndex":
+    def fit(cls, x: np.ndarray, centroids: int | None = None, recall: float = RECALL, k: int = 20, seed: int = SEED) -> "MultiIndex":
         rng = np.random.default_rng(seed)
-        half, n = x.shape[1] // 2, max(1, min(centroids, int(np.sqrt(len(x)) / 2)))
+        half, n = x.shape[1] // 2, max(1, min(centroids or centroids_for(len(x)), len(x) // 4))
         out = cls(_k_means(x[:, :half], n, rng), _k_means(x[:, half:], n, rng))
         at = out.cell(x)
         sizes = np.bincount(at, minlength=out.cells)
@@ -162,6 +170,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
     d = sizes[0]
     rows, asked = rows.filter(F.size("embedding") == d), asked.filter(F.size("embedding") == d)
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(20_000, sample // d))).toPandas()
+    options = {"centroids": centroids_for(sizes[1])} | options
     index = MultiIndex.fit(np.stack(some["embedding"].to_numpy()).astype(np.float64), k=k, **options)
     sent = spark.sparkContext.broadcast(index)
 
