@@ -82,18 +82,18 @@ class MultiIndex:
         d = self.left.shape[1]
         a, b = -(self.left @ q[:d]), -(self.right @ q[d:])
         i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        a, b = a[i].tolist(), b[j].tolist()
-        heap = [(a[0] + b[0], 0, 0)]
+        a, b, i, j = a[i].tolist(), b[j].tolist(), (i * len(j)).tolist(), j.tolist()
+        heap = [(s + b[0], k, 0) for k, s in enumerate(a)]  # the next cell of each left centroid; sorted, so a heap
         while heap:
-            _, s, t = heapq.heappop(heap)
-            yield int(i[s]) * len(j) + int(j[t])
-            if s + 1 < len(a) and t == 0:  # each pair is pushed once: down the first column, then along its row
-                heapq.heappush(heap, (a[s + 1] + b[0], s + 1, 0))
+            _, s, t = heap[0]
+            yield i[s] + j[t]
             if t + 1 < len(b):
-                heapq.heappush(heap, (a[s] + b[t + 1], s, t + 1))
+                heapq.heapreplace(heap, (a[s] + b[t + 1], s, t + 1))
+            else:
+                heapq.heappop(heap)
 
-    def probe(self, q: np.ndarray, sizes: np.ndarray) -> list[int]:
-        need, out = self.share * sizes.sum(), []
+    def probe(self, q: np.ndarray, sizes: list[int]) -> list[int]:
+        need, out = self.share * sum(sizes), []
         for c in self.walk(q):
             if sizes[c]:
                 out.append(c)
@@ -162,7 +162,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
     """
     spark = vectors.sparkSession
     clean = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(usable("embedding") & F.col("vec_id").isNotNull())
-    rows, asked = clean(vectors), clean(queries).distinct()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a number of partitions of their own: walking is work that the queries' few bytes do not show
+    rows, asked = clean(vectors), clean(queries).repartition(tasks, "vec_id").distinct()
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
@@ -196,20 +198,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
 
     def send(batches):
         counts, first, parts = layout.value
+        sizes = counts.tolist()
         for b in batches:
-            q = _matrix(b.column(1))
-            at, blocks, cells = [], [], []
+            q, ready = _matrix(b.column(1)), []
             for i in range(len(q)):
-                by_block: dict[int, list[int]] = {}
-                for c in sent.value.probe(q[i], counts):
-                    for x in range(first[c], first[c] + parts[c]):
-                        by_block.setdefault(int(x), []).append(c)
-                at += [i] * len(by_block)
-                blocks += by_block.keys()
-                cells += by_block.values()
-            for z in range(0, len(at), 5000):
-                ids, vectors = (b.column(i).take(pa.array(at[z : z + 5000])) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(blocks[z : z + 5000], pa.int64()), ids, vectors, pa.array(cells[z : z + 5000], pa.list_(pa.int32()))], ["block", "id", "v", "cells"])
+                wanted = np.array(sent.value.probe(q[i], sizes), np.int32)
+                n = parts[wanted]
+                block = np.repeat(first[wanted] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                order = np.argsort(block, kind="stable")
+                block, wanted = block[order], np.repeat(wanted, n)[order]
+                starts = np.flatnonzero(np.diff(block, prepend=-1))
+                offsets = np.append(starts, len(block))
+                for z in range(0, len(starts), 5000):  # a query may need every block
+                    to = block[starts[z : z + 5000]]
+                    cells = pa.ListArray.from_arrays(pa.array(offsets[z : z + len(to) + 1], pa.int32()), pa.array(wanted))
+                    ids, vectors = (b.column(c).take(pa.array(np.full(len(to), i))) for c in (0, 1))
+                    ready.append(pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), ids, vectors, cells], ["block", "id", "v", "cells"]))
+                    if sum(map(len, ready)) >= 5000 or i + 1 == len(q):
+                        yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                        ready = []
 
     first_of, parts_of = (F.element_at(F.lit(x.tolist()), F.col("cell") + 1) for x in (first, np.maximum(parts, 1)))
     stored = placed.select(
@@ -239,8 +246,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
                     out = _best(*held, q.column(2).to_numpy(), _matrix(q.column(3)), q.column(4).to_pylist(), k)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "vec_id", "score"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = stored.union(sent_out).repartition(n, "block").sortWithinPartitions("block", "kind")
+    both = stored.union(sent_out).repartition(tasks, "block").sortWithinPartitions("block", "kind")
     found = both.mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
