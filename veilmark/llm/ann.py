@@ -126,13 +126,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _best(ids: np.ndarray, rows: np.ndarray, cell: np.ndarray, q_ids: np.ndarray, q: np.ndarray, wanted: list, k: int):
+def _best(ids: np.ndarray, rows: np.ndarray, cell: np.ndarray, q_ids: np.ndarray, q: np.ndarray, wanted: pa.ListArray, k: int):
     """(query, row, score) of the k best rows of the wanted cells for each query; ``ids`` ascend."""
     score = q @ rows.T
     names, code = np.unique(cell, return_inverse=True)
     allowed = np.zeros((len(q), len(names)), bool)
-    for i, w in enumerate(wanted):
-        allowed[i, np.searchsorted(names, np.intersect1d(w, names))] = True
+    asker, of = np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy()), wanted.flatten().to_numpy()
+    here = np.isin(of, names)
+    allowed[asker[here], np.searchsorted(names, of[here])] = True
     score[~allowed[:, code] | (q_ids[:, None] == ids[None, :])] = -np.inf
     if len(ids) > k:
         edge = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
@@ -243,7 +244,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
                     held = [x[order] for x in held]
                 for i in range(0, z - a if held else 0, 256):
                     q = part.slice(i, 256)
-                    out = _best(*held, q.column(2).to_numpy(), _matrix(q.column(3)), q.column(4).to_pylist(), k)
+                    out = _best(*held, q.column(2).to_numpy(), _matrix(q.column(3)), q.column(4), k)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "vec_id", "score"])
 
     both = stored.union(sent_out).repartition(tasks, "block").sortWithinPartitions("block", "kind")
