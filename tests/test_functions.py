@@ -10,6 +10,7 @@ from veilmark.functions import special
 from veilmark.functions.jsonitems import json_items, parse_items
 from veilmark.functions.tags import find_tags, normalised, tag_count
 from veilmark.functions.text import direct_answer, filled, levenshtein_similarity, new_identifiers, prompt_hash, redact, repeats, runaway, section_answer, strip
+from veilmark.sources.fixtures import turns
 
 
 def column(spark, expr, *values, schema="x string"):
@@ -115,3 +116,21 @@ def test_distributions(spark):
     assert special.chi2_sf(11.0705, 5) == pytest.approx(0.05, abs=1e-5)
     df = spark.createDataFrame([(0.975,), (0.3,)], "p double")
     assert [r.z for r in df.select(special.norm_ppf_column(F.col("p")).alias("z")).collect()] == [pytest.approx(special.norm_ppf(p)) for p in (0.975, 0.3)]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similarity_against_a_plain_table(spark):
+    """Characters outside ASCII count as one each, in the texts of a table as in made ones."""
+    pairs = [(r.query, r.output[:120]) for r in turns(spark, "/root/testdata/sf0.001").orderBy("conv_id", "turn").collect()]
+    pairs += [("é", "e"), ("نص", ""), ("x" * 50, "y" * 50), ("ab", "ba"), ("", "")]
+    got = column(spark, levenshtein_similarity(F.col("x"), F.col("z")), *pairs, schema="x string, z string")
+    want = [1.0 if a == b else 1 - distance(a, b) / max(len(a), len(b)) for a, b in pairs]
+    assert got == pytest.approx(want, abs=1e-12)
