@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, licenses, mixing, oracles, quality, simhash, substring, tokencount, tokenfile, urlfilter
+from . import ann, decontam, licenses, mixing, oracles, quality, simhash, substring, tandem, tokencount, tokenfile, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,28 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, the end of which repeats in one of ten documents, chosen by a hash of their ids."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tandem.periodic_runs(_table(spark, sf_dir, "documents"), edit=_planted)
+    ratio = lambda r: F.struct((r["length"] / r["period"]).alias("ratio"), (-r["start"]).alias("start"), (-r["period"]).alias("period"), r["length"].alias("length"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))
+    best = found.withColumn("best", F.array_max(F.transform("runs", ratio))).withColumns({"start": -F.col("best.start"), "length": F.col("best.length"), "period": -F.col("best.period")})
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.expr("(1000 * length) div period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": simhash_dedup,
     "op2_source_mix": source_mix,
@@ -70,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup,
     "op9_token_files": token_files,
     "op10_token_counts": token_counts,
+    "op11_periodic_runs": periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
