@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, licenses, mixing, oracles, quality, simhash, substring, tandem, tokencount, tokenfile, urlfilter
+from . import ann, bpe, decontam, licenses, mixing, oracles, quality, simhash, substring, tandem, tokencount, tokenfile, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,12 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decode=True)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": simhash_dedup,
     "op2_source_mix": source_mix,
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": token_files,
     "op10_token_counts": token_counts,
     "op11_periodic_runs": periodic_runs,
+    "op12_bpe_round_trip": bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {
