@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, licenses, mixing, oracles, quality, simhash, substring, tandem, tokencount, tokenfile, urlfilter
+from . import ann, bpe, decontam, licenses, mixing, oracles, quality, simhash, spelling, substring, tandem, tokencount, tokenfile, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,23 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def _misspelt(doc_id: int | None) -> Callable[[str], str]:
+    """For a document the runs of letters, one of 97 of them without a letter, by a hash of both."""
+    if doc_id is None:
+        return lambda run: run
+    start = zlib.crc32(f"{doc_id}:".encode())
+
+    def word(run: str) -> str:
+        h = zlib.crc32(run.encode(), start)
+        return run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+    return word
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), edit=_misspelt)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": simhash_dedup,
     "op2_source_mix": source_mix,
@@ -101,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": token_counts,
     "op11_periodic_runs": periodic_runs,
     "op12_bpe_round_trip": bpe_round_trip,
+    "op13_spelling_variants": spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
