@@ -28,6 +28,12 @@ def test_from_text_to_tables(spark, tmp_path):
     assert spark.read.csv(at("out/analysis/mcnemar"), header=True).first().p_value_corrected == "1.0"
     cli.main(["pilot", "--gold", at("gold"), "--responses", at("log"), "--output", at("out"), "--n-queries", "10"])
     assert spark.read.json(at("out/pilot")).count() == 2
+    own = ["pilot", "--gold", at("gold"), "--output", at("own"), "--prompts", at("p.json"), "--prompt", "a", "--model", "m", "--n-queries", "10", "--n-runs", "3", "--log-file", at("pilot.txt")]
+    for _ in range(2):  # the second time no call is left to make
+        cli.main(own)
+        row = spark.read.json(at("own/pilot")).first()
+        assert (row.queries, row.runs, row.identical_rate, row.recommendation) == (8, 3, 1.0, "N=3")
+    assert files.read_log(spark, at("own/pilot-log")).count() == 24 and "m / a: 100.0 % of 8 queries alike, N=3" in (tmp_path / "pilot.txt").read_text()
 
 
 def test_the_whole_matrix_and_its_repair(spark, tmp_path):
@@ -52,7 +58,7 @@ def test_the_whole_matrix_and_its_repair(spark, tmp_path):
     cli.main(["repair", "--gold", at("gold"), "--responses", at("broken"), "--output", at("mended")])
     row = files.read_log(spark, at("mended")).first()
     assert (row.raw_output, row.error, row.parse_status) == ("[NAME] came", None, "reprocessed_fixed")
-    for wrong in (["repair", "--gold", at("gold"), "--responses", at("log"), "--output", at("log")], ["run", "--gold", "g", "--prompts", "p", "--output", "o", "--all"]):
+    for wrong in (["repair", "--gold", at("gold"), "--responses", at("log"), "--output", at("log")], ["run", "--gold", "g", "--prompts", "p", "--output", "o", "--all"], ["pilot", "--gold", "g", "--output", "o"]):
         with pytest.raises(SystemExit):
             cli.main(wrong)
     assert clients.unload("http://127.0.0.1:9", "m", 0.2) is False

@@ -15,6 +15,7 @@ from . import maps
 from .functions.text import filled
 from .operators import analysis, evaluate, runs
 from .sources import clients, files
+from .sources.ledger import Ledger
 
 log = logging.getLogger("veilmark")
 
@@ -47,11 +48,22 @@ def _run_one(spark: SparkSession, a: argparse.Namespace, gold: DataFrame, model:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done, start = None, 0
-    rows = clients.run_log(gold, done, model, prompt, number, client, params, canary)
-    # calls are made once: the order of the log is that of the written rows
+    # what was asked before a stop is in the ledger: only missing calls are made
+    book = Ledger(spark, getattr(a, "ledger", None) or f"{a.output.rstrip('/')}-calls")
+    rows = clients.run_log(gold, done, model, prompt, number, client, params, canary, book)
     files.append_responses(rows.withColumn("seq", F.monotonically_increasing_id() + start), a.output)
 
 
+def _client(a: argparse.Namespace, tag: str) -> clients.Client:
+    return clients.retrying(clients.http_client(a.host, tag, a.timeout)) if a.host else clients.rule_client
+
+
+def _asked(gold: DataFrame, prompt: dict) -> DataFrame:
+    """(system, user) of a prompt's first pass for each query."""
+    template = prompt.get("user_template") or prompt.get("pass1_user_template")
+    return gold.select(F.lit(prompt.get("system_prompt", "")).alias("system"), filled(F.lit(template), F.col("query_text")).alias("user"))
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     """One (model, prompt, run), or with --all every model with every prompt and run of the configuration.
 
@@ -70,13 +82,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         prompts, models, numbers = [files.by_slug(prompts, a.prompt)], [files.by_slug(models, a.model)], [a.run]
     for model in models:
         tag, pause = model.get(maps.MODEL_TAG, model["slug"]), execution.get("cooldown_between_models_seconds", 0)
-        client = clients.retrying(clients.http_client(a.host, tag, a.timeout)) if a.host else clients.rule_client
+        client = _client(a, tag)
         for prompt in prompts:
             params = files.parameters(config.get("default", {}), config.get("model_overrides", {}).get(model["slug"]), prompt.get("parameters"))
             if a.all and a.host:
-                template = prompt.get("user_template") or prompt.get("pass1_user_template")
-                first = gold.select(F.lit(prompt.get("system_prompt", "")).alias("system"), filled(F.lit(template), F.col("query_text")).alias("user"))
-                clients.warm_up(client, first, execution.get("warmup_queries", 10), params)
+                clients.warm_up(client, _asked(gold, prompt), execution.get("warmup_queries", 10), params)
             for number in numbers:
                 _run_one(spark, a, gold, model["slug"], prompt, number, client, params, canary)
             if a.all and a.host:
@@ -112,10 +122,25 @@ def analyse(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def pilot(spark: SparkSession, a: argparse.Namespace) -> None:
+    """How alike repeated runs over a sample are: those of a log (--responses), or --n-runs made here with one prompt."""
     gold = files.read_dataset(spark, a.gold)
-    sample = runs.stratified_sample(gold, a.n_queries)
-    responses = files.read_log(spark, a.responses).join(sample.select("query_id"), "query_id")
-    files.write_json(runs.pilot(responses, gold), f"{a.output}/pilot")
+    sample = gold.join(runs.stratified_sample(gold, a.n_queries).select("query_id"), "query_id")
+    log_at = a.responses or f"{a.output}/pilot-log"
+    if not a.responses:
+        prompts = [v for k, v in files.read_config(spark, a.prompts).items() if not k.startswith("_")]
+        models = files.read_config(spark, a.models)["models"] if a.models else [{"slug": a.model}]
+        prompt, model = files.by_slug(prompts, a.prompt), files.by_slug(models, a.model)
+        params = files.read_config(spark, a.params).get("default", {}) if a.params else {}
+        client = _client(a, model.get(maps.MODEL_TAG, model["slug"]))
+        if a.host:
+            clients.warm_up(client, _asked(sample, prompt), 10, params)
+        for number in range(1, a.n_runs + 1):
+            _run_one(spark, argparse.Namespace(output=log_at), sample, model["slug"], prompt, number, client, params, None)
+    responses = files.read_log(spark, log_at).join(sample.select("query_id"), "query_id")
+    found = runs.pilot(responses, gold)
+    files.write_json(found, f"{a.output}/pilot")
+    for row in found.collect():  # one for each configuration
+        log.info("%s / %s: %.1f %% of %d queries alike, %s", row["model"], row["prompt"], 100 * row["identical_rate"], row["queries"], row["recommendation"])
 
 
 def parser() -> argparse.ArgumentParser:
@@ -129,16 +154,19 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(flags, **about)
 
     gold, output, responses = ("--gold", {"required": True}), ("--output", {"required": True}), ("--responses", {"required": True})
-    command("split", split, ("--source", {"required": True}), output)
     yes, log_file = {"action": "store_true"}, ("--log-file", {})
+    command("split", split, ("--source", {"required": True}), output, log_file)
     command(
         "run", run, gold, output, log_file, ("--prompts", {"required": True}), ("--prompt", {}), ("--model", {}), ("--run", {"type": int, "default": 1}), ("--all", yes), ("--include-ablations", yes),
-        ("--models", {}), ("--params", {}), ("--host", {}), ("--timeout", {"type": float, "default": 120}), ("--canary", {}),
+        ("--models", {}), ("--params", {}), ("--host", {}), ("--timeout", {"type": float, "default": 120}), ("--canary", {}), ("--ledger", {}),
     )
     command("repair", repair, gold, responses, output, log_file, ("--whole-prompt", yes))
     command("score", score, gold, responses, output, log_file, ("--layout", {"choices": ("files", "log"), "default": "files"}), ("--model", {}), ("--prompt", {}), ("--all", yes))
-    command("analyse", analyse, output, ("--prompt", {}), ("--model", {}), ("--contrast", {"action": "append", "default": []}), ("--n-bootstrap", {"type": int, "default": 10_000}))
-    command("pilot", pilot, gold, responses, output, ("--n-queries", {"type": int, "default": 100}))
+    command("analyse", analyse, output, log_file, ("--prompt", {}), ("--model", {}), ("--contrast", {"action": "append", "default": []}), ("--n-bootstrap", {"type": int, "default": 10_000}))
+    command(
+        "pilot", pilot, gold, output, log_file, ("--responses", {}), ("--n-queries", {"type": int, "default": 100}), ("--n-runs", {"type": int, "default": 10}), ("--prompts", {}), ("--prompt", {"default": "zero-shot-structured"}),
+        ("--model", {"default": "phi4-mini"}), ("--models", {}), ("--params", {}), ("--host", {}), ("--timeout", {"type": float, "default": 120}),
+    )
     return out
 
 
@@ -146,6 +174,8 @@ def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     if a.call is run and not (a.models if a.all else a.model and a.prompt):
         raise SystemExit("run takes --model and --prompt, or --all and --models")
+    if a.call is pilot and not (a.responses or a.prompts):
+        raise SystemExit("pilot takes --responses, or --prompts to make the runs itself")
     set_up_logging(getattr(a, "log_file", None))
     a.call(SparkSession.builder.appName("veilmark").getOrCreate(), a)
 

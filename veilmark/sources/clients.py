@@ -116,25 +116,39 @@ def warm_up(client: Client, prompts: DataFrame, n: int = 10, params: dict | None
     return sum(client(r["system"], r["user"], params or {}).error is None for r in prompts.select("system", "user").limit(n).collect())
 
 
-def ask(prompts: DataFrame, client: Client, params: dict | None = None, system: str = "system", user: str = "user") -> DataFrame:
-    """``prompts`` with the reply's columns; one call for each row."""
+def _answered(client: Client, system: str, user: str, params: dict) -> dict:
+    """A reply whatever happens: what a client raises becomes its reply's error."""
+    try:
+        return asdict(client(system, user, params))
+    except Exception as e:  # one query's trouble is no reason to lose the others' replies
+        return asdict(Reply(error=f"unexpected_error: {e}"))
+
+
+def ask(prompts: DataFrame, client: Client, params: dict | None = None, system: str = "system", user: str = "user", only: str | None = None) -> DataFrame:
+    """``prompts`` with the reply's columns; one call for each row, or each for which the column ``only`` is true (the
+    others have a reply of nulls). Each action on the result makes the calls: where a reply is to be read more
+    than once a ``ledger.Ledger`` keeps it."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
+    names = [c.split()[0] for c in REPLY.split(", ")]
 
     def run(batches):
         for rows in batches:
-            replies = [asdict(client(s, u, params or {})) for s, u in zip(rows[system], rows[user])]
-            made = pd.DataFrame(replies, columns=[c.split()[0] for c in REPLY.split(", ")])
+            wanted = rows[only] if only else [True] * len(rows)
+            replies = [_answered(client, s, u, params or {}) if w else {} for w, s, u in zip(wanted, rows[system], rows[user])]
+            made = pd.DataFrame(replies, columns=names, dtype=object)
             yield pd.concat([rows.reset_index(drop=True), made], axis=1)
 
     return prompts.mapInPandas(run, f"{kept}, {REPLY}")
 
 
-def respond(todo: DataFrame, prompt: dict, client: Client, params: dict | None = None) -> DataFrame:
+def respond(todo: DataFrame, prompt: dict, client: Client, params: dict | None = None, ledger=None) -> DataFrame:
     """Responses of one prompt to queries (query_id, query_text): by its parser in one or two passes.
 
     direct: the answer without its prefixes. json_then_replace: the listed items are replaced in the
     query. json_then_llm_replace: the list goes into a second prompt. A list that cannot be read is the
-    error json_parse_failure.
+    error json_parse_failure. Both passes are steps of one plan, so that an action makes each call once.
+    With a ``ledger`` (then ``todo`` has model, prompt and run, too) calls are made here and now, those that
+    it has are not made again, and any number of actions read the same replies.
     """
     parser = prompt.get("output_parser", "direct")
     template = prompt.get("user_template") or prompt.get("pass1_user_template")
@@ -142,34 +156,36 @@ def respond(todo: DataFrame, prompt: dict, client: Client, params: dict | None =
         raise ValueError("a prompt needs user_template or pass1_user_template")
     rows = todo.withColumn("system", F.lit(prompt.get("system_prompt", ""))).withColumn("user", filled(F.lit(template), F.col("query_text")))
     rows = rows.withColumn("input_text", F.concat(F.lit("[SYSTEM] "), "system", F.lit("\n[USER] "), "user"))
-    first = ask(rows, client, params)
+    first = ledger.ask(rows, 1, client, params) if ledger else ask(rows, client, params)
     if parser == "direct":
         answer = F.when(F.col("error").isNull(), direct_answer(F.col("raw_output")))
         return first.withColumn("raw_output", answer).drop("system", "user", "context_exceeded")
     first = first.withColumnsRenamed({"raw_output": "pass1_output", "latency_ms": "pass1_latency_ms"}).drop("system", "user", "output_truncated", "context_exceeded")
     first = first.withColumn("_items", F.when(F.col("error").isNull(), json_items(F.col("pass1_output"))))
     unread = F.col("error").isNull() & F.col("_items").isNull()
-    first = first.withColumn("error", F.when(unread, "json_parse_failure").otherwise(F.col("error")))
+    called = F.col("error").isNull()
+    first = first.withColumns({"pass2_method": F.when(called, "programmatic" if parser == "json_then_replace" else "llm"), "error": F.when(unread, "json_parse_failure").otherwise(F.col("error"))})
     if parser == "json_then_replace":
         text = redact(F.col("query_text"), F.col("_items"))
-        return first.withColumns({"raw_output": text, "pass2_output": text, "pass2_method": F.lit("programmatic"), "latency_ms": F.col("pass1_latency_ms")}).drop("_items")
-    fine = first.filter("error is null")
+        return first.withColumns({"raw_output": text, "pass2_output": text, "latency_ms": F.col("pass1_latency_ms")}).drop("_items")
     listed = F.array_join(F.transform("_items", lambda x: F.to_json(x)), "\n")
-    second = fine.withColumn("system", F.lit(prompt.get("pass2_system_prompt", ""))).withColumn("user", filled(F.lit(prompt.get("pass2_user_template", "")), F.col("query_text"), listed))
-    second = second.drop("error", "_items").withColumnsRenamed({"tokens_output": "tokens1", "tokens_input": "tokens0"})
-    done = ask(second, client, params).withColumns(
+    second = first.withColumns({"_fine": F.col("error").isNull(), "system": F.lit(prompt.get("pass2_system_prompt", "")), "user": filled(F.lit(prompt.get("pass2_user_template", "")), F.col("query_text"), listed)})
+    second = second.drop("_items").withColumnsRenamed({"tokens_output": "_tokens1", "tokens_input": "_tokens0", "error": "_error1"})
+    asked = ledger.ask(second, 2, client, params, only="_fine") if ledger else ask(second, client, params, only="_fine")
+    fine = F.col("_fine")
+    return asked.withColumns(
         {
-            "pass2_output": F.col("raw_output"), "pass2_latency_ms": F.col("latency_ms"), "pass2_method": F.lit("llm"),
-            "raw_output": direct_answer(F.nullif("raw_output", F.lit(""))), "latency_ms": F.col("latency_ms") + F.col("pass1_latency_ms"),
-            "tokens_output": F.col("tokens1") + F.col("tokens_output"), "tokens_input": F.col("tokens0"),
+            "pass2_output": F.col("raw_output"), "pass2_latency_ms": F.when(fine, F.col("latency_ms")),
+            "raw_output": direct_answer(F.nullif("raw_output", F.lit(""))), "latency_ms": F.col("pass1_latency_ms") + F.when(fine, F.col("latency_ms")).otherwise(0),
+            "tokens_output": F.when(fine, F.col("_tokens1") + F.col("tokens_output")).otherwise(F.col("_tokens1")), "tokens_input": F.col("_tokens0"),
+            "error": F.coalesce("_error1", "error"),
         }
-    ).drop("system", "user", "tokens0", "tokens1", "output_truncated", "context_exceeded")
-    failed = first.filter("error is not null").drop("_items").withColumn("latency_ms", F.col("pass1_latency_ms")).withColumn("pass2_method", F.lit("llm"))
-    return done.unionByName(failed, allowMissingColumns=True)
+    ).drop("system", "user", "_fine", "_tokens0", "_tokens1", "_error1", "output_truncated", "context_exceeded")
 
 
-def run_log(gold: DataFrame, done: DataFrame | None, model: str, prompt: dict, run: int, client: Client, params: dict | None = None, canary: str | None = None) -> DataFrame:
-    """Responses of one (model, prompt, run) to the queries that ``done`` has none for, the canary first and last."""
+def run_log(gold: DataFrame, done: DataFrame | None, model: str, prompt: dict, run: int, client: Client, params: dict | None = None, canary: str | None = None, ledger=None) -> DataFrame:
+    """Responses of one (model, prompt, run) to the queries that ``done`` has none for, the canary first and last.
+    ``ledger``: see ``respond``."""
     todo = gold.select("query_id", "query_text").withColumns({"is_canary": F.lit(False), "canary_position": F.lit(None).cast("int")})
     if canary is not None:
         ends = gold.sparkSession.createDataFrame([("canary_start", canary, True, 0), ("canary_end", canary, True, 1052)], todo.schema)
@@ -178,4 +194,5 @@ def run_log(gold: DataFrame, done: DataFrame | None, model: str, prompt: dict, r
         mine = done.filter((F.col("model") == model) & (F.col("prompt") == prompt["slug"]) & (F.col("run") == run))
         todo = todo.join(mine.select("query_id"), "query_id", "left_anti")
     about = {"model": F.lit(model), "prompt": F.lit(prompt["slug"]), "run": F.lit(run), "model_name": F.lit(model), "prompt_style": F.lit(prompt["slug"]), "run_number": F.lit(run)}
-    return respond(todo, prompt, client, params).withColumns(about).drop("query_text")
+    todo = todo.withColumns(about)
+    return respond(todo, prompt, client, params, ledger).drop("query_text")
