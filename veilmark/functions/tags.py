@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..maps import TAG_NAMES, TAG_OF_SPELLING
-from .binding import let
+from .binding import let, running_sums
 
 _T = "(" + "|".join(TAG_NAMES) + ")"
 # Fixed values: (format, pattern, whether group 1 is the type), in order of precedence. Bare [REDACTED],
@@ -42,19 +42,21 @@ def normalised(name: Column) -> Column:
 
 
 def _matches(text: Column, number: int, kind: str, pattern: str, typed: bool) -> Column:
-    zero = F.lit(0)
-
     def entries(m: Column) -> Column:
-        def entry(x: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(m["gaps"], 1, i + 1), zero, lambda s, g: s + F.length(g))
-            inside = F.aggregate(F.slice(m["found"], 1, i), zero, lambda s, g: s + F.length(g))
-            kept = F.regexp_extract(x, pattern, 1) if typed else None
-            return F.struct(
-                (before + inside).alias("position"), F.lit(number).alias("pattern_no"), x.alias("tag_text"),
-                (normalised(kept) if typed else F.lit("UNKNOWN")).alias("tag_type"), F.lit(kind).alias("format"),
-            )
-
-        return F.transform(m["found"], entry)
+        # each match lies behind all gaps and matches before it
+        behind = F.transform(m["found"], lambda x, i: F.length(F.get(m["gaps"], i)) + F.when(i > 0, F.length(F.get(m["found"], i - 1))).otherwise(0))
+
+        def entry(places: Column):
+            def tag(x: Column, i: Column) -> Column:
+                kept = F.regexp_extract(x, pattern, 1) if typed else None
+                return F.struct(
+                    F.get(places, i).alias("position"), F.lit(number).alias("pattern_no"), x.alias("tag_text"),
+                    (normalised(kept) if typed else F.lit("UNKNOWN")).alias("tag_type"), F.lit(kind).alias("format"),
+                )
+
+            return F.transform(m["found"], tag)
+
+        return let(running_sums(behind), entry)
 
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("gaps"))
     return F.when(text.rlike(pattern), let(found, entries)).otherwise(F.array().cast(TAG))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import maps
 from .binding import let
+from .distance import levenshtein
 from .tags import find_tags
 
 
@@ -51,7 +52,7 @@ def redact(text: Column, items: Column) -> Column:
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     """1 - distance / length of the longer; 1 for equal texts, which need no distance."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(a == b, 1.0).otherwise(1 - levenshtein(a, b) / longest)
 
 
 def overlap(of: Column, other: Column) -> Column:

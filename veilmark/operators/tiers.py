@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import maps
-from ..functions.binding import let
+from ..functions.binding import first_not_below, let
 from ..functions.text import contains_any, strip, tokens
 
 ELEMENT = (
@@ -34,6 +34,14 @@ def _deleted(query: Column, output_lower: Column, value: Column, at: Column) ->
     return kept(last) | kept(F.slice(after, 1, 3))
 
 
+def _around(tags: Column, place: Column) -> Column:
+    """The tags that can be near a place: no two start at one position, so that there are no more than positions. Few
+    tags are all taken; of many the first is found by a binary search."""
+    most = 2 * maps.TAG_DISTANCE + 1
+    first = first_not_below(tags, lambda t: t["position"], place - maps.TAG_DISTANCE)
+    return F.when(F.size(tags) <= most, tags).otherwise(F.slice(tags, first + 1, F.lit(most)))
+
+
 def elements(query: Column, phi: Column, output: Column, tags: Column) -> Column:
     """Tiers 1 and 2 of each annotated value.
 
@@ -55,7 +63,7 @@ def elements(query: Column, phi: Column, output: Column, tags: Column) -> Column
 
     def second(b: Column, e: Column) -> Column:
         fits = lambda t: (F.abs(t["position"] - e["place"]) <= maps.TAG_DISTANCE) & ((t["tag_type"] == e["kind"]) | t["tag_type"].isin(*maps.GENERIC_TAGS))
-        tag = F.when(~e["present"] & (e["at"] >= 0), F.get(F.filter(tags, fits), F.lit(0)))
+        tag = F.when(~e["present"] & (e["at"] >= 0), F.get(F.filter(_around(tags, e["place"]), fits), F.lit(0)))
         gone = F.when(~e["present"] & (e["at"] >= 0), _deleted(query, b["output"], e["value"], e["at"]))
         return let(F.struct(tag.alias("tag"), gone.alias("gone")), lambda f: third(e, f["tag"], f["gone"]))
 
