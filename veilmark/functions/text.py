@@ -77,24 +77,53 @@ def resembles(candidate: Column, original: Column | None, content: Column | None
     return F.when(F.length(original) == 0, typed).otherwise(close)
 
 
-def _of_size(size: int):
-    """The runs of ``size`` words of an array of words but the last."""
-    return lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - size), lambda i: F.array_join(F.slice(words, i, size), " "))
+def _window_hashes(hashes: Column, size: int) -> Column:
+    """Hashes of all windows of ``size`` words but the last, from hashes of the words: windows of 1, 2, 4, ... words are
+    hashed from two halves, and those of which ``size`` is the sum from one another."""
+    joined = lambda a, b, apart: F.transform(F.slice(a, 1, F.greatest(F.size(b) - apart, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(b, i + apart)))
+    parts = [k for k in reversed(range(size.bit_length())) if size >> k & 1]
+
+    def doubled(windows: Column, k: int, held: dict[int, Column]) -> Column:
+        held = held | {k: windows}
+        if k < parts[0]:
+            return let(joined(windows, windows, 1 << k), lambda w: doubled(w, k + 1, held))
+        out, covered = held[parts[0]], 1 << parts[0]
+        for p in parts[1:]:
+            out, covered = joined(out, held[p], covered), covered + (1 << p)
+        return F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
+
+    return doubled(hashes, 0, {})
+
+
+def _often(words: Column, hashes: Column, size: int, threshold: int) -> Column:
+    """Whether a window of ``size`` words stands ``threshold`` times: hashes that do are found by sorting, the words decide."""
+    equal = lambda sorted_, i: F.get(sorted_, i) == F.get(sorted_, i - (threshold - 1))
+    several = lambda sorted_: F.filter(sorted_, lambda x, i: (i >= threshold - 1) & equal(sorted_, i))
+
+    def checked(windows: Column, x: Column) -> Column:
+        places = F.filter(F.transform(windows, lambda w, i: F.when(w == x, i)), lambda i: i.isNotNull())
+        texts = F.array_sort(F.transform(places, lambda i: F.array_join(F.slice(words, i + 1, size), " ")))
+        return let(texts, lambda t: F.size(several(t)) > 0)
+
+    return let(_window_hashes(hashes, size), lambda w: F.exists(let(F.array_sort(w), several), lambda x: checked(w, x)))
 
 
 def repeats(text: Column, threshold: int = 3) -> Column:
-    """Whether an answer collapsed: ``threshold`` equal lines in a row, or a run of 10, 20 or 30 tokens as often."""
+    """Whether an answer collapsed: ``threshold`` equal lines in a row, or a run of 10, 20 or 30 tokens as often (the
+    last run of a size is left out). Hashes of 64 bits find the runs, in time that grows with the text; their words are compared."""
     lines, words = F.split(strip(text), "\n"), tokens(text)
     n = F.size(lines)
     same = lambda x: lambda i: (F.size(F.array_distinct(F.slice(x, i, threshold))) == 1) & (F.length(strip(F.get(x, i - 1))) > 5)
     rows = let(lines, lambda x: F.exists(F.sequence(F.lit(1), n - threshold + 1), same(x)))
-    runs = F.lit(False)
-    for size in (10, 20, 30):
-        # the last run is left out
-        grams = let(words, _of_size(size))
-        often = let(F.array_sort(grams), lambda o: F.exists(F.sequence(F.lit(threshold), F.size(o)), lambda i: F.get(o, i - 1) == F.get(o, i - threshold)))
-        runs = runs | F.when(F.size(words) >= 3 * size, often).otherwise(False)
-    return F.when(n < threshold, False).otherwise(rows | runs)
+
+    def runs(given: Column) -> Column:
+        out = F.lit(False)
+        for size in (10, 20, 30):
+            out = out | F.when(F.size(given["words"]) >= 3 * size, _often(given["words"], given["hashes"], size, threshold)).otherwise(False)
+        return out
+
+    hashed = let(words, lambda x: F.struct(x.alias("words"), F.transform(x, lambda w: F.xxhash64(w)).alias("hashes")))
+    return F.when(n < threshold, False).otherwise(rows | let(hashed, runs))
 
 
 def section_answer(raw: Column, original: Column | None = None) -> Column:

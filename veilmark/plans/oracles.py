@@ -186,6 +186,8 @@ EVALUATION = f"""{SCORES},
     outcomes as (select model || '/' || prompt as config, query_id, d1 = phi_count as ok from scores where run = 1 and not is_negative and error is null)"""
 
 _R = lambda x, n=10: f"round({x}, {n}) as {x}"
+_LISTS = f"""lists as (
+        select model, prompt, {", ".join(f"coalesce(string_agg(round_even({x}, 4)::double::varchar, ',' order by run) filter ({x} is not null), '') as {x}_per_run" for x in _STATS)} from rates group by model, prompt)"""
 _ALL = [
     *[f"{x}_{y}" for x in _STATS for y in ("mean", "std")], "t1_recall_with_errors", "latency_mean_ms", "latency_median_ms", "latency_p95_ms", "latency_p99_ms", "over_redaction",
 ]
@@ -287,16 +289,22 @@ ANSWERS = rf"""{GOLD},
                                                          lambda o: {{'text': o ->> '$.text', 'type': o ->> '$.type'}}) as items from objects)"""
 
 
+_often = lambda n: f"(len(words) >= {3 * n} and list_max(map_values(list_aggregate(list_transform(range(1, len(words) - {n} + 1), lambda i: hash(words[i:i + {n - 1}])), 'histogram'))) >= 3)"
+
+
 def _sections() -> str:
     """The answer in a response of several sections, and how it was found."""
     content = lambda x: f"list_filter(list_distinct({_split(f'lower({x})')}), lambda w: w not in ({_quoted(maps.STOP_WORDS)}))"
     tagged = lambda x: "(" + " or ".join(f"regexp_matches({x}, '{rx.replace('(?iu)', '(?i)')}')" for _, rx, _ in NOTATIONS) + ")"
     share = lambda x: f"coalesce(len(list_intersect(content, {content(x)}))::double / nullif(len(content), 0), 0)"
     like = lambda x: f"({share(x)} > 0.4 and ({share(x)} > 0.85 or {tagged(x)}))"
-    often = lambda n: f"(len(words) >= {3 * n} and list_max(map_values(list_aggregate(list_transform(range(1, len(words) - {n} + 1), lambda i: array_to_string(words[i:i + {n - 1}], ' ')), 'histogram'))) >= 3)"
     return rf"""with {RESPONSES},
         made as (
-            select query_id, query_text, case key % 3 when 0 then 'STEP 1: none' || chr(10) || 'OUTPUT: ' when 1 then 'I read it.' || chr(10) || chr(10) else '' end || coalesce(output, '') as raw
+            select query_id, query_text, case key % 8 when 0 then 'STEP 1: none' || chr(10) || 'OUTPUT: ' || coalesce(output, '') when 1 then 'I read it.' || chr(10) || chr(10) || coalesce(output, '')
+                       when 2 then coalesce(output, '') when 3 then 'Begin' || chr(10) || repeat('line ' || key || chr(10), 3)
+                       when 4 then 'Begin' || chr(10) || 'here' || chr(10) || repeat('one two three four five six seven eight nine ' || key || ' ', (key % 5)::int)
+                       when 5 then repeat('word ', (key % 3)::int + 199) || 'end' || case when key % 2 = 0 then '.' else '' end
+                       when 6 then 'caf' || repeat('é', (key % 3)::int) || ' 1234567890' else 'OUTPUT:  ' || chr(10) || chr(10) || 'nothing more' || key end as raw
             from responses where model = 'alpha' and prompt = 'few-shot' and run = 1),
         stripped as (select query_id, {_strip("raw")} as t, {content("query_text")} as content from made),
         cut as (
@@ -306,12 +314,66 @@ def _sections() -> str:
         named as (
             select *, case when t = '' then 'empty' when section is not null then case when {like("section")} then 'clean' else 'minor_format' end when paragraph is not null then 'output_only'
                 when len(lines) >= 3 and (len(list_filter(range(1, len(lines) - 1), lambda i: lines[i] = lines[i + 1] and lines[i] = lines[i + 2] and length({_strip("lines[i]")}) > 5)) > 0
-                     or {often(10)} or {often(20)} or {often(30)}) then 'repetition'
+                     or {_often(10)} or {_often(20)} or {_often(30)}) then 'repetition'
                 when len(words) > 200 and not regexp_matches(t, '[.?!\]>]$') then 'truncated'
                 when length(regexp_replace(t, '[\x00-\x7F]', '', 'g'))::double / length(t) > 0.1 then 'garbage' else 'section_bleed' end as status from chosen)
         select query_id, case when status in ('clean', 'minor_format') then section when status = 'output_only' then paragraph when status = 'section_bleed' then t else '' end as answer, status from named"""
 
 
+def _tier1() -> str:
+    """From the responses alone: each of a query's four values is or is not in the output."""
+    gone = [f"coalesce(not contains(lower(output), lower(v{k})), false)" for k in (1, 2, 3, 4)]
+    missed = ", ".join(f"case when not {g} then v{k} end" for k, g in enumerate(gone, 1))
+    return f"""with {RESPONSES},
+        untouched as (select {_ID}, output from responses where is_negative),{_tags("tags", "untouched", _ID, "output")},
+        tagged as (select {_ID}, count(*)::int as n from tags group by {_ID}),
+        counted as (
+            select {_ID}, is_negative, phi_count, {" + ".join(f"{g}::int" for g in gone)} as found, concat_ws('|', {missed}) as missed from responses)
+        select {_ID}, case when not is_negative then found end as phi_detected, case when not is_negative then phi_count - found end as phi_missed,
+               case when not is_negative then round(found::double / phi_count, 10) end as recall, case when not is_negative then missed end as missed_values,
+               case when is_negative then coalesce(n, 0) end as tags_found, case when is_negative then n is null end as preserved
+        from counted left join tagged using ({_ID})"""
+
+
+def _natural_positives() -> str:
+    """Tags in lines without identifiers, returned as they are: all within the text, so a medical term nearby or not."""
+    near = "lower(substr(query_text, greatest(position - 20, 0) + 1, position + 20 - greatest(position - 20, 0)))"
+    return f"""with {_NATURAL.strip()},
+        plain as (select query_id, query_text from natural_lines where len(kinds) = 0),{_tags("tags", "plain", "query_id", "query_text")},
+        lettered as (select query_id, position, tag_text, len(list_filter([{_quoted(maps.CLINICAL_TERMS)}], lambda x: contains({near}, x))) > 0 as medical from tags join plain using (query_id))
+        select query_id, 'alpha' as model, 'few-shot' as prompt_style, 1 as run_number, count(*)::int as total_fp_tags, count(*) filter (medical)::int as type_a_count,
+               0 as type_b_count, 0 as type_c_count, count(*) filter (not medical)::int as type_d_count, string_agg(tag_text, '|' order by position) as tagged_terms
+        from lettered group by query_id"""
+
+
+def _documents() -> str:
+    pos, neg = "positive_queries", "negative_queries"
+    rates = {f"{pos}_tier1_recall": "t1_recall", f"{pos}_tier2_recall": "t2_recall", f"{pos}_tier2_precision": "t2_precision", f"{pos}_tier3_similarity": "t3_similarity", f"{neg}_tier1_specificity": "specificity"}
+    each = ", ".join(f"round({c}_mean, 10) as {a}_mean, round({c}_std, 10) as {a}_std, {c}_per_run as {a}_per_run" for a, c in rates.items())
+    return f"""with {EVALUATION}, {_LISTS},
+        types as (
+            select e.model, e.prompt, type, count(*) as n, count(*) filter (tier1_pass) as hit from elements e join responses r using ({_ID}) where r.error is null group by e.model, e.prompt, type),
+        categories as (
+            select model, prompt, string_agg(type || '/' || round_even(hit::double / n, 4)::double::varchar || '/' || n || '/' || hit, ',' order by type) as per_category from types group by model, prompt)
+        select model as model_name, prompt as prompt_style, runs_completed, queries_per_run, total_inferences, errors_total as total_failures, errors_timeout as timeout, errors_parse as parse_error, errors_other as other,
+               positive_count, negative_count, {each}, round(t3_pass_mean, 10) as fidelity_mean, t3_pass_per_run as fidelity_per_run, per_category, {", ".join(f"fp_type_{x} as type_{x}" for x in "abcd")},
+               {", ".join(f"round_even(latency_{x}_ms, 1)::double as {x}_ms" for x in ("mean", "median", "p95", "p99"))}, true as timestamp_fits
+        from evaluation join lists using (model, prompt) join categories using (model, prompt)"""
+
+
+def _repeated() -> str:
+    """Whether a text has three equal lines in a row or three equal runs of 10, 20 or 30 words, the last run left out."""
+    runs = " union all ".join(f"select doc_id from grams where i < n - {k} and n >= {3 * k} group by doc_id, g[1:{k}] having count(*) >= 3" for k in (10, 20, 30))
+    return rf"""with split as (
+            select doc_id, {_split("coalesce(text, '')")} as words, string_split({_strip("coalesce(text, '')")}, chr(10)) as lines from documents),
+        each as (select doc_id, unnest(words) as w, unnest(range(len(words))) as i, len(words) as n from split where len(lines) >= 3),
+        grams as (select doc_id, n, i, list(w) over (partition by doc_id order by i rows between current row and 29 following) as g from each),
+        line as (select doc_id, unnest(lines) as l, unnest(range(len(lines))) as i from split),
+        next as (select doc_id, l, lead(l) over (partition by doc_id order by i) as l1, lead(l, 2) over (partition by doc_id order by i) as l2 from line),
+        found as (select doc_id from next where l = l1 and l = l2 and length({_strip("l")}) > 5 union all {runs})
+        select doc_id, doc_id in (select doc_id from found) as repeated from documents"""
+
+
 def _best() -> str:
     up = {"t1_recall_mean": "desc", "t2_recall_mean": "desc", "t3_pass_mean": "desc", "t3_similarity_mean": "desc", "specificity_mean": "desc", "latency_mean_ms": "asc"}
     parts = [f"(select '{m}' as metric, model, prompt, round({m}, 10)::double as value from evaluation order by round({m}, 10) {d}, model, prompt limit 1)" for m, d in up.items()]
@@ -323,9 +385,7 @@ ORACLE_SQL: dict[str, str] = {
     "config_summary": f"with {EVALUATION} select model, prompt, {_R('t1_recall_mean')}, {_R('t1_recall_std')}, {_R('over_redaction')} from evaluation",
     "tag_detect": f"with {RESPONSES},{_tags('tags', 'responses', _ID, 'output')} select {_ID}, position, tag_text, tag_type, format from tags",
     "tag_counts": f"with {_tags('tags', 'documents', 'doc_id', 'text').strip()} select doc_id, count(position)::int as n_tags, min(position) as first_position from documents left join tags using (doc_id) group by doc_id",
-    "tier1_per_query": f"""with {SCORES} select {_ID}, case when not is_negative then d1 end as phi_detected, case when not is_negative then phi_count - d1 end as phi_missed,
-        case when not is_negative then round(d1::double / phi_count, 10) end as recall, case when not is_negative then missed end as missed_values,
-        case when is_negative then n_tags end as tags_found, case when is_negative then n_tags = 0 end as preserved from scores""",
+    "tier1_per_query": _tier1(),
     "tier2_per_element": f"with {SCORES} select {_ID}, value, type, tier1_pass, tier2_pass, reason, found_tag, position_offset, is_deletion from elements",
     "tier3_per_query": f"""with {SCORES} select {_ID}, passed, levenshtein_similarity, char_ratio, appended_content, new_phi_detected,
         case when none then 'no_output' when not passed then concat_ws('; ', case when not near then 'low_similarity_' || printf('%.2f', sim) end,
@@ -338,7 +398,10 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, coalesce(redacted, query_text) as redacted from gold left join folded using (query_id)""",
     "category_recall": f"""with {SCORES} select e.model, e.prompt as prompt_style, type as phi_category, round_even(avg(tier1_pass::int), 4)::double as recall, count(*) as count, count(*) filter (tier1_pass) as detected
         from elements e join responses r using ({_ID}) where r.error is null group by e.model, e.prompt, type""",
-    "evaluation_full": f"with {EVALUATION} select model, prompt, {', '.join(map(_R, _ALL))}, {', '.join(_COUNTS)} from evaluation",
+    "evaluation_full": f"with {EVALUATION}, {_LISTS} select model, prompt, {', '.join(map(_R, _ALL))}, {', '.join(_COUNTS)}, {', '.join(f'{x}_per_run' for x in _STATS)} from evaluation join lists using (model, prompt)",
+    "evaluation_documents": _documents(),
+    "fp_natural": _natural_positives(),
+    "text_repetition": _repeated(),
     "recall_by_run": f"with {EVALUATION} select model, prompt, run, {', '.join(map(_R, [*_STATS, 't1_recall_with_errors']))} from rates",
     "comparison_table": f"""with {EVALUATION} select model, prompt as prompt_style, {", ".join(f"round_even({c}, 4)::double as {a}" for a, c in (
         ("t1_recall_mean", "t1_recall_mean"), ("t1_recall_std", "t1_recall_std"), ("t2_recall_mean", "t2_recall_mean"), ("t2_recall_std", "t2_recall_std"),

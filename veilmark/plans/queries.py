@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsonitems import json_items
 from ..functions.tags import find_tags
-from ..functions.text import direct_answer, levenshtein_similarity, redact, runaway, section_answer
+from ..functions.text import direct_answer, levenshtein_similarity, redact, repeats, runaway, section_answer
 from ..operators import evaluate, report, runs, stats
 from ..sources import files, fixtures
 
@@ -85,13 +85,35 @@ def category_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _evaluation(spark, sf_dir)
-    lists = [c for c, kind in rows.dtypes if kind.startswith("array")]
-    return _rounded(rows.drop(*lists))
+    lists = {c: _listed(c) for c, kind in rows.dtypes if kind.startswith("array")}
+    return _rounded(rows.withColumns(lists))
+
+
+def _listed(name: str) -> Column:
+    """The numbers of an array as text."""
+    return F.array_join(F.col(name).cast("array<string>"), ",")
 
 
 def evaluation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the nested documents side by side, lists and categories as text."""
     scores = _scores(spark, sf_dir)
-    return evaluate.as_documents(evaluate.aggregate(scores), evaluate.by_category(scores))
+    docs = evaluate.as_documents(evaluate.aggregate(scores), evaluate.by_category(scores))
+    pos, neg, by_type = "positive_queries", "negative_queries", F.array_sort(F.map_entries("positive_queries.per_category"))
+    category = lambda e: F.concat_ws("/", e["key"], F.bround(e["value"]["recall"], 4).cast("string"), e["value"]["count"], e["value"]["detected"])
+    lists = [(f"{pos}.tier1", "recall"), (f"{pos}.tier2", "recall"), (f"{pos}.tier2", "precision"), (f"{pos}.tier3", "similarity"), (f"{neg}.tier1", "specificity")]
+    each = []
+    for tier, rate in lists:
+        name = f"{tier.replace('.', '_')}_{rate}"
+        each += [F.col(f"{tier}.{rate}_mean").alias(f"{name}_mean"), F.col(f"{tier}.{rate}_std").alias(f"{name}_std"), _listed(f"{tier}.{rate}_per_run").alias(f"{name}_per_run")]
+    return _rounded(
+        docs.select(
+            "model_name", "prompt_style", "runs_completed", "queries_per_run", "total_inferences", "errors.total_failures", "errors.timeout", "errors.parse_error", "errors.other",
+            F.col(f"{pos}.count").alias("positive_count"), F.col(f"{neg}.count").alias("negative_count"), *each, F.col(f"{pos}.tier3.fidelity_pass_rate_mean").alias("fidelity_mean"),
+            _listed(f"{pos}.tier3.fidelity_pass_rate_per_run").alias("fidelity_per_run"), F.array_join(F.transform(by_type, category), ",").alias("per_category"),
+            *[F.col(f"{neg}.fp_taxonomy.type_{x}") for x in "abcd"], *[F.col(f"latency.{x}_ms") for x in ("mean", "median", "p95", "p99")],
+            F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("timestamp_fits"),
+        )
+    )
 
 
 def recall_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,13 +238,27 @@ def direct_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cot_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses in all forms that the extractor tells apart, by the query's number."""
     rows = fixtures.responses(fixtures.gold(spark, sf_dir)).filter("model = 'alpha' and prompt = 'few-shot' and run = 1")
     gold = fixtures.gold(spark, sf_dir).select("query_id", "query_text", "key")
-    text = F.concat(F.element_at(F.array(F.lit("STEP 1: none\nOUTPUT: "), F.lit("I read it.\n\n"), F.lit("")), F.pmod("key", F.lit(3)).cast("int") + 1), F.coalesce("raw_output", F.lit("")))
+    output, number = F.coalesce("raw_output", F.lit("")), F.col("key").cast("string")
+    forms = [
+        F.concat(F.lit("STEP 1: none\nOUTPUT: "), output), F.concat(F.lit("I read it.\n\n"), output), output,
+        F.concat(F.lit("Begin\n"), F.repeat(F.concat(F.lit("line "), number, F.lit("\n")), F.lit(3))),
+        F.concat(F.lit("Begin\nhere\n"), F.repeat(F.concat(F.lit("one two three four five six seven eight nine "), number, F.lit(" ")), F.pmod("key", F.lit(5)).cast("int"))),
+        F.concat(F.repeat(F.lit("word "), F.pmod("key", F.lit(3)).cast("int") + 199), F.lit("end"), F.when(F.pmod("key", F.lit(2)) == 0, ".").otherwise("")),
+        F.concat(F.lit("caf"), F.repeat(F.lit("é"), F.pmod("key", F.lit(3)).cast("int")), F.lit(" 1234567890")), F.concat(F.lit("OUTPUT:  "), F.lit("\n\nnothing more"), number),
+    ]
+    text = F.element_at(F.array(*forms), F.pmod("key", F.lit(8)).cast("int") + 1)
     joined = rows.join(gold, "query_id").select("query_id", section_answer(text, F.col("query_text")).alias("a"))
     return joined.select("query_id", F.col("a.text").alias("answer"), F.col("a.status").alias("status"))
 
 
+def text_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold equal lines in a row, or a run of words again and again."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", repeats(F.coalesce("text", F.lit(""))).alias("repeated"))
+
+
 def runaway_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.turns(spark, sf_dir).select("conv_id", "turn", runaway(F.col("output"), F.col("query")).alias("runaway"))
 
@@ -280,7 +316,7 @@ QUERIES: dict[str, Query] = {
         redact_programmatic, category_recall, evaluation_full, evaluation_documents, recall_by_run, comparison_table, error_classes,
         error_rates, latency_stats, dedup_last, duplicates_removed, resume_todo, unknown_queries, canary_drift, mcnemar, mcnemar_labels,
         cochran_q, cochran_q_events, holm, jackknife, bootstrap_hash, bootstrap_numpy, bootstrap_bca, phi_json_parse, two_pass_repair,
-        direct_parse, cot_extract, runaway_turns, turn_similarity, pilot_identity, stratified_sample, type_distribution,
+        direct_parse, cot_extract, text_repetition, runaway_turns, turn_similarity, pilot_identity, stratified_sample, type_distribution,
         complexity_histogram, dataset_metadata, best_per_metric, nearest_target, strategy_pivot, rank_in_model, strategy_mean,
     )
 }
