@@ -117,7 +117,7 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
 def analyse(spark: SparkSession, a: argparse.Namespace) -> None:
     scores = spark.read.parquet(f"{a.output}/scores")
     contrasts = spark.createDataFrame([(f"{x} vs {y}", x, y) for x, y in (c.split(",") for c in a.contrast)], "comparison string, a string, b string")
-    for name, table in analysis.analyse(scores, analysis.families(scores, a.prompt, a.model), contrasts, a.n_bootstrap).items():
+    for name, table in analysis.analyse(scores, analysis.families(scores, a.prompt, a.model), contrasts, a.n_bootstrap, a.draws).items():
         files.write_csv(table, f"{a.output}/analysis/{name}")
 
 
@@ -162,7 +162,7 @@ def parser() -> argparse.ArgumentParser:
     )
     command("repair", repair, gold, responses, output, log_file, ("--whole-prompt", yes))
     command("score", score, gold, responses, output, log_file, ("--layout", {"choices": ("files", "log"), "default": "files"}), ("--model", {}), ("--prompt", {}), ("--all", yes))
-    command("analyse", analyse, output, log_file, ("--prompt", {}), ("--model", {}), ("--contrast", {"action": "append", "default": []}), ("--n-bootstrap", {"type": int, "default": 10_000}))
+    command("analyse", analyse, output, log_file, ("--prompt", {}), ("--model", {}), ("--contrast", {"action": "append", "default": []}), ("--n-bootstrap", {"type": int, "default": 10_000}), ("--draws", {"choices": ("numpy", "poisson"), "default": "numpy"}))
     command(
         "pilot", pilot, gold, output, log_file, ("--responses", {}), ("--n-queries", {"type": int, "default": 100}), ("--n-runs", {"type": int, "default": 10}), ("--prompts", {}), ("--prompt", {"default": "zero-shot-structured"}),
         ("--model", {"default": "phi4-mini"}), ("--models", {}), ("--params", {}), ("--host", {}), ("--timeout", {"type": float, "default": 120}),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .. import maps
 from ..functions.tags import NOTATIONS
 from ..sources.fixtures import BRANCHES, MODELS, NATURAL, PROMPTS, RUNS
+from ..operators.resampling import PRIME, poisson_steps
 from .queries import CONTRASTS, FAMILIES
 
 _TAG = {"NAME": "NAME", "GEOGRAPHIC_LOCATION": "LOCATION", "DATE": "DATE", "MEDICAL_RECORD_NUMBER": "MRN"}
@@ -374,6 +375,30 @@ def _repeated() -> str:
         select doc_id, doc_id in (select doc_id from found) as repeated from documents"""
 
 
+def _replicates(stratum: str, sums: str) -> str:
+    """CTEs ending in ``replicates``: sums over Poisson replicates 1 to 10,000 of the rows ``resampled``."""
+    seeds = ", ".join(f"('0x' || substr(h, {1 + 8 * k}, 8))::bigint % {PRIME} as s{k}" for k in range(3))
+    times = " + ".join(f"(x >= {t})::int" for t in poisson_steps())
+    return f"""
+    resampled as (
+        select model, prompt, is_negative, d1 as hit, phi_count, case when is_negative then 0 else greatest(0, n_tags - phi_count) end as fp, (is_negative and n_tags = 0)::int as clean,
+               md5('42:' || {stratum} || ':' || query_id || ':' || run || ':' || seq) as h from scores where run = 1 and error is null),
+    seeded as (select *, {seeds} from resampled),
+    drawn as (select *, ((s0 * (r * r)) % {PRIME} + s1 * r + s2) % {PRIME} as x from seeded, range(1, 10001) as t(r)),
+    counted_ as (select *, {times} as c from drawn where x >= {poisson_steps()[0]}),
+    replicates as (select model, prompt, r, {sums} from counted_ group by model, prompt, r)"""
+
+
+def _bootstrap_poisson() -> str:
+    sums = "sum(c * hit) filter (not is_negative) as hit, sum(c * phi_count) filter (not is_negative) as phi, sum(c * fp) as fp, sum(c * clean) as clean, sum(c) filter (is_negative) as negatives"
+    return f"""with {SCORES}, {_replicates("is_negative::int", sums)},
+        metrics as (select model, prompt, coalesce(hit::double / nullif(phi, 0), 0) as recall, coalesce(hit::double / nullif(hit + fp, 0), 0) as precision_, coalesce(clean::double / nullif(negatives, 0), 0) as specificity from replicates),
+        long as (
+            select model, prompt, 'recall' as metric, recall as v from metrics union all select model, prompt, 'precision', precision_ from metrics
+            union all select model, prompt, 'f1', coalesce(2 * recall * precision_ / nullif(recall + precision_, 0), 0) from metrics union all select model, prompt, 'specificity', specificity from metrics)
+        select model, prompt, metric, round(avg(v), 10) as mean, round(quantile_cont(v, 0.025), 10) as ci_lower, round(quantile_cont(v, 0.975), 10) as ci_upper from long group by model, prompt, metric"""
+
+
 def _best() -> str:
     up = {"t1_recall_mean": "desc", "t2_recall_mean": "desc", "t3_pass_mean": "desc", "t3_similarity_mean": "desc", "specificity_mean": "desc", "latency_mean_ms": "asc"}
     parts = [f"(select '{m}' as metric, model, prompt, round({m}, 10)::double as value from evaluation order by round({m}, 10) {d}, model, prompt limit 1)" for m, d in up.items()]
@@ -444,6 +469,7 @@ ORACLE_SQL: dict[str, str] = {
             select model, prompt, 'recall' as metric, recall as v from metrics union all select model, prompt, 'precision', precision_ from metrics
             union all select model, prompt, 'f1', 2 * recall * precision_ / (recall + precision_) from metrics union all select model, prompt, 'specificity', specificity from metrics)
         select model, prompt, metric, round(avg(v), 10) as mean, round(quantile_cont(v, 0.025), 10) as ci_lower, round(quantile_cont(v, 0.975), 10) as ci_upper from long group by model, prompt, metric""",
+    "bootstrap_poisson": _bootstrap_poisson(),
     "phi_json_parse": f"with {ANSWERS} select query_id, len(items)::int as n_items, array_to_string(list_transform(items, lambda x: x.text), '|') as texts from parsed",
     "two_pass_repair": f"""with {ANSWERS},
         found as (select query_id, query_text, case when raw <> '' then items end as items from parsed),

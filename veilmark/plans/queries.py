@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.jsonitems import json_items
 from ..functions.tags import find_tags
 from ..functions.text import direct_answer, levenshtein_similarity, redact, repeats, runaway, section_answer
-from ..operators import evaluate, report, runs, stats
+from ..operators import evaluate, report, resampling, runs, stats
 from ..sources import files, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,6 +211,10 @@ def bootstrap_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.bootstrap_hashed(stats.bootstrap_units(_scores(spark, sf_dir)), 20))
 
 
+def bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(resampling.bootstrap_rates(stats.bootstrap_rows(_scores(spark, sf_dir)), ["model", "prompt"]))
+
+
 def bootstrap_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.bootstrap(stats.bootstrap_units(_scores(spark, sf_dir)))
 
@@ -220,6 +224,13 @@ def bootstrap_bca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.bootstrap_bca(units, ["model", "prompt"], "recall")
 
 
+def bca_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the recall over all values: a ratio of sums, by replicates that are sums themselves."""
+    rows = stats.bootstrap_rows(_scores(spark, sf_dir)).filter("not is_negative")
+    key = F.concat_ws(":", F.lit("0"), "query_id", "run", "seq")
+    return _rounded(resampling.bca(rows, ["model", "prompt"], key, resampling.ratio_of("hit", "phi_count")), 6)
+
+
 def phi_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.item_answers(fixtures.gold(spark, sf_dir)).select("query_id", json_items(F.col("pass1_output")).alias("items"))
     return rows.select("query_id", F.size("items").alias("n_items"), F.array_join(F.transform("items", lambda x: x["text"]), "|").alias("texts"))
@@ -315,7 +326,7 @@ QUERIES: dict[str, Query] = {
         config_summary, tag_detect, tag_counts, tier1_per_query, tier2_per_element, tier3_per_query, fp_taxonomy, fp_natural,
         redact_programmatic, category_recall, evaluation_full, evaluation_documents, recall_by_run, comparison_table, error_classes,
         error_rates, latency_stats, dedup_last, duplicates_removed, resume_todo, unknown_queries, canary_drift, mcnemar, mcnemar_labels,
-        cochran_q, cochran_q_events, holm, jackknife, bootstrap_hash, bootstrap_numpy, bootstrap_bca, phi_json_parse, two_pass_repair,
+        cochran_q, cochran_q_events, holm, jackknife, bootstrap_hash, bootstrap_poisson, bootstrap_numpy, bootstrap_bca, bca_recall, phi_json_parse, two_pass_repair,
         direct_parse, cot_extract, text_repetition, runaway_turns, turn_similarity, pilot_identity, stratified_sample, type_distribution,
         complexity_histogram, dataset_metadata, best_per_metric, nearest_target, strategy_pivot, rank_in_model, strategy_mean,
     )
