@@ -1,9 +1,12 @@
 """Columns of any name stay as they are; empty tables and long texts go through every filtering operator."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from cases import texts
-from veilmark.llm import decontam, mixing, quality, simhash, similar
+from veilmark.llm import common, decontam, mixing, quality, simhash, similar
 
 SCHEMA = "doc_id bigint, text string, source string, `a.b` string, `_th` string, `__row_th` string, node string, `c d` string"
 
@@ -45,6 +48,27 @@ def test_several_automata_cut_what_one_does(tables):
     assert sorted(map(tuple, one), key=str) == sorted(map(tuple, many), key=str)
 
 
+def test_several_automata_mark_what_one_does_and_write_little(tables, monkeypatch):
+    docs, _, items = tables
+    spark = docs.sparkSession
+    plain = lambda df: sorted((r.doc.doc_id, r.n_words, tuple(r.starts), tuple(r.ends), tuple(r["items"])) for r in df.collect())
+    twice = docs.union(docs.limit(5)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
+    rows = twice.filter("doc_id is not null")
+    assert plain(decontam.contamination(rows, items, block=40)) == plain(decontam.contamination(rows, items))
+    assert decontam.contamination(twice, items, block=40).count() == twice.count()
+    many = docs.select("doc_id", "text").filter("length(text) > 100000").crossJoin(spark.range(20)).selectExpr("id as doc_id", "if(id % 10 = 0, text, translate(text, '0123456789', 'abcdefghij')) as text")
+    sizes = []
+
+    def noted(df, tag):
+        out = common.written(df, tag)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(decontam, "written", noted)
+    assert decontam.contamination(many, items, block=40).filter("size(starts) > 0").count() > 0
+    assert len(sizes) > 3 and sum(sizes) < 0.05 * many.selectExpr("sum(octet_length(text))").first()[0]
+
+
 def test_documents_go_by_length_of_a_span_and_coverage(spark):
     item = " ".join(f"i{k}" for k in range(60))
     items = spark.createDataFrame([(1, item)], "item_id bigint, text string")

@@ -65,19 +65,16 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: Rows that a batch of texts on its way to Python holds at most.
+#: Rows that a batch of texts in Python holds at most.
 BATCH = 1_000
 
 
 def map_texts(rows: DataFrame, run, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` for rows that hold whole texts: batches of ``BATCH`` rows, unless the session's own
-    setting is not Spark's default, and memory that a worker no longer needs is given back."""
-    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH))
+    """``mapInArrow`` for rows that hold whole texts: batches are handed on in slices of ``BATCH`` rows, whatever the
+    session's own limits for them are, and memory that a worker no longer needs is given back."""
 
     def frugal(batches):
-        yield from run(batches)
+        yield from run(b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH))
         pa.default_memory_pool().release_unused()
         if sys.platform == "linux":
             ctypes.CDLL(None).malloc_trim(0)
@@ -85,6 +82,16 @@ def map_texts(rows: DataFrame, run, schema: str | StructType) -> DataFrame:
     return rows.mapInArrow(frugal, schema)
 
 
+#: Bytes that a partition, or a file, is planned for.
+PIECE = 256 << 20
+
+
+def pieces(df: DataFrame) -> int:
+    """Partitions to deal ``df`` to: as many as shuffles have, and more if the planner's estimate of its size asks for them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PIECE), 1_000_000))
+
+
 def utf8(column: pa.Array) -> list:
     """The rows of a string column as bytes (None where null), without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

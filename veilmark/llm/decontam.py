@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import ALNUM_TABLE, alnum_words, columns, drop_written, map_texts, utf8, written
+from .common import ALNUM_TABLE, alnum_words, columns, drop_written, map_texts, row_key, utf8, written
 
 WINDOW = 10
 #: Words of items in one automaton (at most two states a word).
@@ -207,10 +209,8 @@ def _hits(rows: DataFrame, keep: str, automaton) -> DataFrame:
     return map_texts(rows.select(keep, "text"), run, StructType([rows.schema[keep], *_HITS]))
 
 
-def _merge(spans):
+def _merge(spans: pd.Series) -> pd.DataFrame:
     """Sorted, disjoint spans (starts, ends) from each row's array of (start, end)."""
-    import pandas as pd
-
     starts, ends = [], []
     for row in spans:
         s, e = [], []
@@ -239,36 +239,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def _contamination(docs: DataFrame, every) -> DataFrame:
-    """``contamination`` by ``every`` automaton in turn. What a pass finds is written before the next one
-    begins, so that no task and no driver holds more than one automaton."""
+    """``contamination`` by ``every`` automaton in turn, so that no task and no driver holds more than one.
+
+    With several, each reads the documents and writes the key and the spans of those it hits, nothing of the others and no
+    text. The finds of a document are put together in the end. The table of them stays with the result.
+    """
     spark = docs.sparkSession
-    found = None
-    for a in every:
+    first, second = next(every), next(every, None)
+    if second is None:
+        rows = docs.select(F.struct(*columns(docs)).alias("doc"), F.col("text").alias("text"))
+        found = _hits(rows, "doc", spark.sparkContext.broadcast(first))
+        return found.withColumn("items", _names(F.col("items")))
+    passes = []
+    for a in chain((first, second), every):
         sent = spark.sparkContext.broadcast(a)
-        if found is None:
-            now = _hits(docs.select(F.struct(*columns(docs)).alias("doc"), F.col("text").alias("text")), "doc", sent)
-            found = now, sent, None
-        else:
-            was, before, older = found
-            was = written(was, "decontam-pass")
-            before.destroy()
-            if older is not None:
-                drop_written(spark, older)
-            found = _joined(was, sent), sent, was
-    names = F.array_sort(F.array_distinct(F.transform("items", lambda x: F.coalesce(x, F.lit("")))))
-    return found[0].withColumn("items", names)
-
-
-def _joined(found: DataFrame, sent) -> DataFrame:
-    """``found`` and what another automaton finds."""
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    merged = pandas_udf(lambda spans: _merge(spans), "struct<starts array<int>, ends array<int>>")
-    more = _hits(found.select(F.struct("doc", "starts", "ends", "items").alias("was"), F.col("doc.text").alias("text")), "was", sent)
-    spans = lambda s, e: F.arrays_zip(F.col(s).alias("start"), F.col(e).alias("end"))
-    both = F.concat(spans("was.starts", "was.ends"), spans("starts", "ends"))
-    out = more.select("was.doc", "n_words", merged(both).alias("m"), F.array_union("was.items", "items").alias("items"))
-    return out.select("doc", "n_words", "m.starts", "m.ends", "items")
+        keyed = docs.select(F.struct(*row_key(docs)).alias("key"), "text")
+        hit = _hits(keyed, "key", sent).filter(F.size("starts") > 0).select("key.*", "starts", "ends", "items")
+        passes.append(written(hit.dropDuplicates(["doc_id", "_th"]), "decontam-pass"))
+        sent.destroy()
+    spans = F.flatten(F.collect_list(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))))
+    each = reduce(DataFrame.unionAll, passes).groupBy("doc_id", "_th").agg(spans.alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    merged = F.pandas_udf(_merge, StructType([StructField(c, ArrayType(IntegerType())) for c in ("starts", "ends")]))
+    each = written(each.select("doc_id", "_th", merged("spans").alias("m"), _names(F.col("items")).alias("items")), "decontam-found")
+    drop_written(spark, *passes)
+    rows = docs.select(F.struct(*columns(docs)).alias("doc"), F.xxhash64("text").alias("_h"))
+    out = rows.join(each, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("_th")), "left")
+    none = F.array().cast("array<int>")
+    n_words = F.coalesce(F.regexp_count("doc.text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    return out.select("doc", n_words.alias("n_words"), F.coalesce("m.starts", none).alias("starts"), F.coalesce("m.ends", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _names(items: Column) -> Column:
+    """Distinct names, sorted; a null one is the empty name."""
+    return F.array_sort(F.array_distinct(F.transform(items, lambda x: F.coalesce(x, F.lit("")))))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -122,6 +122,7 @@ def _first_fit(units: DataFrame, wanted: DataFrame, kind: str, pool: int, rows:
         state = written(walked.filter("need > 0").select("source", "need", "at"), "mix-state")
         first = False
         if walked.isEmpty() or state.isEmpty():
+            drop_written(spark, state)
             break
     return found.groupBy("source").agg(F.min("cut").alias("cut"), F.flatten(F.collect_list("taken")).alias("taken"))
 
@@ -131,9 +132,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: i
     taken: ``whole`` times, and, to fill ``budget`` words, once more if they are empty or their hash is below
     ``cut`` or among ``extras``. ``pool`` sets how many rows a round of the first fit walks, not what it finds."""
     rows = written(docs.select("source", seeded(seed).alias("u"), word_count().alias("size")), "mix-sizes")
-    table = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     table = written(
-        table.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+        sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size"))),
         "mix-targets",
     )
@@ -152,7 +153,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: i
         )
     )
     out = written(out, "mix-plan")
-    drop_written(docs.sparkSession, rows, table, units)
+    drop_written(docs.sparkSession, rows, sources, cuts, table, units)
     return out
 
 

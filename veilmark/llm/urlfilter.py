@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 # Fixed values: (host, path, verdict).
 RULES = (
@@ -113,7 +113,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     moves = written(ahead.union(back).groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "url-moves")
     nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("host")).distinct()
     base = written(nodes.join(seeds, "host", "left").select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")), "url-seeds")
-    now = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    now, held = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), []
     total = base.agg(F.coalesce(F.sum(F.col("good") + F.col("bad")), F.lit(0.0))).first()[0]
     for k in range(MOST_ROUNDS):
         came = now.filter("trust > 0 or distrust > 0").join(moves, F.col("host") == F.col("a")).groupBy("b").agg(F.sum(F.col("trust") * F.col("t")).alias("t"), F.sum(F.col("distrust") * F.col("d")).alias("d"))
@@ -131,12 +131,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
             change = F.abs(F.col("trust") - F.col("_trust")) + F.abs(F.col("distrust") - F.col("_distrust"))
             moved = after.join(was, F.col("host") == F.col("_host")).agg(F.coalesce(F.sum(change), F.lit(0.0))).first()[0]
             if moved <= TOLERANCE * total:
+                drop_written(edges.sparkSession, moves, base, *held)
                 return after
-        now = after
+        drop_written(edges.sparkSession, *held)
+        now, held = after, [after]
     raise RuntimeError(f"trust and distrust did not settle in {MOST_ROUNDS} rounds")
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD, normalised: bool = False) -> DataFrame:
     """One row for each row of ``pages`` (page_id, url, html): page_id, host, path, rule (the longest that
     fits, like ``net/``; null if none does) and verdict, the rule's or else that of the host's trust and
     distrust: block if more than ``threshold`` of both is distrust, allow otherwise.
@@ -144,6 +146,10 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     Rules are (host, path, verdict). A rule fits its host and all below it if the path starts with the
     rule's. A null url or one without :// has empty host and path, no rule, and is allowed. Null html
     has no links. Repeated rows are judged alike and count as often as they come.
+
+    Seeds are numbers of pages. With ``normalised`` trust and distrust are each divided by their sums over all hosts, so
+    that neither side weighs more for having more pages; what hosts without links lose then counts as given back to
+    the seeds, as the two forms of PageRank differ by that factor.
     """
     rows = matched(pages, rules)
     seeds = (
@@ -152,8 +158,14 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
         .agg(F.count_if(F.col("best.verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("best.verdict") == "block").cast("double").alias("bad"))
     )
     edges = written(links(pages), "url-links")
-    scores = propagate(written(seeds, "url-rules"), edges, damping, rounds)
-    blocked = scores.filter(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).select(F.col("host").alias("_host"))
+    seeds = written(seeds, "url-rules")
+    scores = propagate(seeds, edges, damping, rounds)
+    drop_written(pages.sparkSession, seeds, edges)
+    trust, distrust = F.col("trust"), F.col("distrust")
+    if normalised:
+        sums = scores.agg(F.sum("trust"), F.sum("distrust")).first()
+        trust, distrust = (c / F.lit(n or 1.0) for c, n in zip((trust, distrust), sums))
+    blocked = scores.filter(distrust > threshold * (trust + distrust)).select(F.col("host").alias("_host"))
     return rows.join(blocked, F.col("host") == F.col("_host"), "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.when(F.col("_host").isNotNull(), "block").otherwise("allow")).alias("verdict"),
