@@ -86,7 +86,7 @@ def map_texts(rows: DataFrame, run, schema: str | StructType) -> DataFrame:
 PIECE = 256 << 20
 
 
-def pieces(df: DataFrame) -> int:
+def partitions_for(df: DataFrame) -> int:
     """Partitions to deal ``df`` to: as many as shuffles have, and more if the planner's estimate of its size asks for them."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PIECE), 1_000_000))

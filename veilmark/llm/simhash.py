@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, drop_written, fresh, map_texts, pieces, release, row_key, space_words, utf8, written
+from .common import columns, components, drop_written, fresh, map_texts, partitions_for, release, row_key, space_words, utf8, written
 
 #: Buckets up to this size are joined pairwise; larger ones take the exact two-wildcard way.
 BUCKET = 64
@@ -83,7 +83,7 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     """Edges (u, v) among the distinct longs ``fps`` (fp) that connect, directly or through others,
     exactly those that differ in at most two bits."""
     # 64 rows come of each fingerprint: dealt out evenly first, as a small table is in few files
-    sigs = _signatures(fps.repartition(pieces(fps), "fp"))
+    sigs = _signatures(fps.repartition(partitions_for(fps), "fp"))
     buckets = (
         sigs.groupBy("sig")
         .agg(F.count("*").alias("n"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("varying"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, pieces, scratch, utf8, written
+from .common import map_texts, partitions_for, scratch, utf8, written
 
 END_ID = 2
 #: Distinct pieces that a worker keeps; beyond them it starts anew.
@@ -208,7 +208,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, fil
         if texts:
             yield done(ids, texts)
 
-    n = files or pieces(docs.select("doc_id", "text"))
+    n = files or partitions_for(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     map_texts(rows, run, f"doc_id {kind}, ids array<int>").write.options(**ORC).orc(path)
