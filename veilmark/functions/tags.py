@@ -8,7 +8,7 @@ places and so count twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..maps import TAG_NAMES, TAG_OF_SPELLING
@@ -75,3 +75,33 @@ def find_tags(text: Column) -> Column:
 def tag_count(text: Column) -> Column:
     """How many tags a text has, in any notation."""
     return F.size(find_tags(text))
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
+
+
+def tags_sql(text: str = "t") -> str:
+    """``find_tags`` of an SQL expression as SQL text, for use where there are no columns."""
+    spelled = ", ".join(f"{_text(a)}, {_text(b)}" for a, b in TAG_OF_SPELLING.items())
+    powers = ", ".join(str(1 << k) for k in range(31))
+    parts = []
+    for number, (kind, pattern, typed) in enumerate(NOTATIONS):
+        rx = f"r'{pattern}'"
+        name = f"upper(trim(regexp_extract(x, {rx}, 1)))"
+        tag = f"coalesce(try_element_at(map({spelled}), {name}), {name})" if typed else "'UNKNOWN'"
+        behind = "transform(found, (x, i) -> length(gaps[i]) + if(i > 0, length(get(found, i - 1)), 0))"
+        sums = f"aggregate(filter(array({powers}), p -> p <= size(found) - 1), {behind}, (s, back) -> transform(s, (x, i) -> x + if(i >= back, get(s, i - back), 0)))"
+        entry = f"struct(places[i] as position, {number} as pattern_no, x as tag_text, {tag} as tag_type, {_text(kind)} as format)"
+        entries = f"transform(array({sums}), places -> transform(found, (x, i) -> {entry}))[0]"
+        split = f"transform(array(split({text}, {rx}, -1)), gaps -> {entries})[0]"
+        parts.append(f"if({text} rlike {rx}, transform(array(regexp_extract_all({text}, {rx}, 0)), found -> {split})[0], cast(array() as {TAG}))")
+    every = f"array_sort(concat({', '.join(parts)}))"
+    return f"transform(array({every}), e -> filter(e, (t, i) -> i = 0 or get(e, i - 1).position != t.position))[0]"
+
+
+def register_tags(spark: SparkSession, name: str = "veilmark_tags") -> None:
+    """A table function of the session: ``select ... from texts, lateral veilmark_tags(texts.text)`` gives one row
+    (position, tag_text, tag_type, format) for each tag. Built-in expressions only; null has no tags."""
+    rows = f"select tag.position, tag.tag_text, tag.tag_type, tag.format from (select explode({tags_sql('txt')}) as tag)"
+    spark.sql(f"create or replace temporary function {name}(txt string) returns table (position int, tag_text string, tag_type string, format string) return {rows}")

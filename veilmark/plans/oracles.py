@@ -410,6 +410,7 @@ ORACLE_SQL: dict[str, str] = {
     "config_summary": f"with {EVALUATION} select model, prompt, {_R('t1_recall_mean')}, {_R('t1_recall_std')}, {_R('over_redaction')} from evaluation",
     "tag_detect": f"with {RESPONSES},{_tags('tags', 'responses', _ID, 'output')} select {_ID}, position, tag_text, tag_type, format from tags",
     "tag_counts": f"with {_tags('tags', 'documents', 'doc_id', 'text').strip()} select doc_id, count(position)::int as n_tags, min(position) as first_position from documents left join tags using (doc_id) group by doc_id",
+    "tag_lateral": f"with {_tags('tags', 'documents', 'doc_id', 'text').strip()} select doc_id, position, tag_text, tag_type, format from tags",
     "tier1_per_query": _tier1(),
     "tier2_per_element": f"with {SCORES} select {_ID}, value, type, tier1_pass, tier2_pass, reason, found_tag, position_offset, is_deletion from elements",
     "tier3_per_query": f"""with {SCORES} select {_ID}, passed, levenshtein_similarity, char_ratio, appended_content, new_phi_detected,

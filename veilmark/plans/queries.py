@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsonitems import json_items
-from ..functions.tags import find_tags
+from ..functions.tags import find_tags, register_tags
 from ..functions.text import direct_answer, levenshtein_similarity, redact, repeats, runaway, section_answer
-from ..operators import evaluate, report, resampling, runs, stats
+from ..operators import evaluate, quantiles, report, resampling, runs, stats
 from ..sources import files, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,13 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("tags").alias("n_tags"), F.get("tags", F.lit(0))["position"].alias("first_position"))
 
 
+def tag_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of documents by the table function, from SQL text."""
+    register_tags(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.sql("select d.doc_id, x.position, x.tag_text, x.tag_type, x.format from {docs} d, lateral veilmark_tags(d.text) x", docs=docs)
+
+
 def tier1_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scores(spark, sf_dir).select("model", "prompt", "run", "query_id", "tier1.*")
     return _rounded(rows.select("model", "prompt", "run", "query_id", "phi_detected", "phi_missed", "recall", F.array_join("missed_values", "|").alias("missed_values"), "tags_found", "preserved"))
@@ -134,8 +141,8 @@ def error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     positive = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value > 0")
-    cuts = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = positive.groupBy("event_type").agg(F.avg("value").alias("mean"), cuts.alias("cuts"))
+    cuts = quantiles.exact_percentiles(positive, ["event_type"], "value", [0.5, 0.95, 0.99])
+    rows = positive.groupBy("event_type").agg(F.avg("value").alias("mean")).join(cuts, "event_type")
     return _rounded(rows.select("event_type", "mean", F.col("cuts")[0].alias("median"), F.col("cuts")[1].alias("p95"), F.col("cuts")[2].alias("p99")))
 
 
@@ -323,7 +330,7 @@ def strategy_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        config_summary, tag_detect, tag_counts, tier1_per_query, tier2_per_element, tier3_per_query, fp_taxonomy, fp_natural,
+        config_summary, tag_detect, tag_counts, tag_lateral, tier1_per_query, tier2_per_element, tier3_per_query, fp_taxonomy, fp_natural,
         redact_programmatic, category_recall, evaluation_full, evaluation_documents, recall_by_run, comparison_table, error_classes,
         error_rates, latency_stats, dedup_last, duplicates_removed, resume_todo, unknown_queries, canary_drift, mcnemar, mcnemar_labels,
         cochran_q, cochran_q_events, holm, jackknife, bootstrap_hash, bootstrap_poisson, bootstrap_numpy, bootstrap_bca, bca_recall, phi_json_parse, two_pass_repair,

@@ -98,24 +98,26 @@ def parameters(base: dict, model: dict | None = None, prompt: dict | None = None
     return {**base, **{k: v for k, v in (model or {}).items() if k != "notes"}, **(prompt or {})}
 
 
+def run_of(path: Column) -> tuple[Column, Column, Column]:
+    """model, prompt and run of a path like .../{model}/{prompt}/run_{n}/responses.jsonl."""
+    rx = r"/([^/]+)/([^/]+)/run_(\d+)/[^/]*$"
+    return F.regexp_extract(path, rx, 1), F.regexp_extract(path, rx, 2), F.regexp_extract(path, rx, 3).cast("int")
+
+
 def _with_path(rows: DataFrame) -> DataFrame:
     """model, prompt and run from .../{model}/{prompt}/run_{n}/responses.jsonl, and seq within the file.
 
-    seq is the place of a record in its file: Spark splits JSON-lines files in order, so the block's start
-    and the place in the block order it.
+    seq orders the records of a file: Spark splits JSON-lines files in order, so the block's start and the place in the
+    block, added up, rise along it. In a file of one block it is the record's number.
     """
-    path = F.col("_metadata.file_path")
-    rx = r"/([^/]+)/([^/]+)/run_(\d+)/[^/]*$"
-    order = Window.partitionBy("_file").orderBy("_block", "_id")
-    return (
-        rows.select("*", path.alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-        .withColumns({"model": F.regexp_extract("_file", rx, 1), "prompt": F.regexp_extract("_file", rx, 2), "run": F.regexp_extract("_file", rx, 3).cast("int")})
-        .withColumn("seq", F.row_number().over(order).cast("long"))
-        .drop("_file", "_block", "_id")
-    )
+    order = Window.partitionBy("_file", "_block").orderBy("_id")
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    # the block's start is the place of its first byte, and no block has more records than bytes: places rise from block to block
+    placed = rows.withColumn("seq", (F.col("_block") + F.row_number().over(order)).cast("long"))
+    return placed.withColumns(dict(zip(("model", "prompt", "run"), run_of(F.col("_file"))))).drop("_file", "_block", "_id")
 
 
-def read_responses(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_responses(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """Response logs (a path, folder or glob of JSON lines). Broken lines are dropped, or with ``strict``
     an error. Logs laid out as model/prompt/run_n give those columns and ``seq``."""
     mode = "FAILFAST" if strict else "DROPMALFORMED"

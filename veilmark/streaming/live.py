@@ -1,8 +1,9 @@
 """Scores of a growing response log as a stream.
 
-Scoring a response needs nothing but its query, so the stream is stateless; a watermark bounds the state
-that drops repeated records. Dropping keeps the first record of a query, so "the last record wins" is
-left to the batch view over the log.
+Two views. ``live_scores``: scoring a response needs nothing but its query, so it keeps no state but what drops
+repeated records, bounded by a watermark; of a query the first record counts. ``corrections``: for each
+query the stream keeps the record of the highest ``seq`` and gives its score again when a later one comes, so
+that the last record wins, as in the batch view over the log, however late or often records come.
 """
 
 from __future__ import annotations
@@ -31,3 +32,35 @@ def start(scores: DataFrame, sink: str, checkpoint: str, **trigger):
     """Append scores to Parquet; the checkpoint makes each record count once."""
     writer = scores.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).partitionBy("model", "prompt")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+KEYS = ["model", "prompt", "run", "query_id"]
+
+
+def corrections(responses: DataFrame, gold: DataFrame) -> DataFrame:
+    """Scores of the last record so far of each query, given again whenever records of the query come in.
+
+    The state is one record for each query of the logs, in the state store of the task that has the query. To be written in
+    update mode, by ``start_corrections``.
+    """
+    fields = [c for c in responses.columns if c not in KEYS]
+    last = responses.groupBy(*KEYS).agg(F.max_by(F.struct(*fields), "seq").alias("_last")).select(*KEYS, "_last.*")
+    return score(last, gold)
+
+
+def start_corrections(scores: DataFrame, sink: str, checkpoint: str, **trigger):
+    """Write each batch of ``corrections`` to a folder of its own below ``sink``: one that is run again writes the same folder."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    writer = scores.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def corrected(spark: SparkSession, sink: str) -> DataFrame:
+    """What counts of the scores below ``sink``: of each query that of the highest seq, the latest batch's of equal ones."""
+    rows = spark.read.parquet(sink)
+    fields = [c for c in rows.columns if c not in KEYS]
+    best = F.max_by(F.struct(*fields), F.struct("seq", "batch"))
+    return rows.groupBy(*KEYS).agg(best.alias("_last")).select(*KEYS, "_last.*").drop("batch")
