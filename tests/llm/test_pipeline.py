@@ -56,7 +56,7 @@ def test_run_is_the_stages_one_after_another(spark, stages):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)] and ORACLE_SQL.keys() <= QUERIES.keys()
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)] and ORACLE_SQL.keys() <= QUERIES.keys()
 
 
 def test_keeps_clean_documents(spark, stages):
