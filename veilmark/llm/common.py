@@ -10,6 +10,7 @@ import shutil
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,20 @@ def release(spark: SparkSession) -> None:
 BATCH = 1_000
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While an action runs inside, batches of ``BATCH`` rows go to Python, unless the session's own limit is not Spark's
+    default; then the setting is what it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if was == "10000":
+        spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def map_texts(rows: DataFrame, run, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for rows that hold whole texts: batches are handed on in slices of ``BATCH`` rows, whatever the
     session's own limits for them are, and memory that a worker no longer needs is given back."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, partitions_for, scratch, utf8, written
+from .common import map_texts, partitions_for, scratch, small_batches, utf8, written
 
 END_ID = 2
 #: Distinct pieces that a worker keeps; beyond them it starts anew.
@@ -211,7 +211,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, fil
     n = files or partitions_for(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    map_texts(rows, run, f"doc_id {kind}, ids array<int>").write.options(**ORC).orc(path)
+    with small_batches(docs.sparkSession):  # the ids of a batch stand beside its texts
+        map_texts(rows, run, f"doc_id {kind}, ids array<int>").write.options(**ORC).orc(path)
 
 
 def read(spark: SparkSession, path: str, where: Column | None = None, id_type: str = "bigint") -> DataFrame:
@@ -243,7 +244,8 @@ def index(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     rows = files.select(name.alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("row"), "ids", "doc_id")
     rows = map_texts(rows.select("file", F.struct("_at", "row").alias("row"), "ids", "doc_id"), run, f"file int, row struct<_at bigint, row bigint>, doc_id {kind}, n_tokens bigint, ids_crc32 bigint"
     )
-    rows = written(rows, "token-index")  # three numbers a row, read twice below
+    with small_batches(spark):
+        rows = written(rows, "token-index")  # three numbers a row, read twice below
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
