@@ -45,6 +45,15 @@ def test_dataset_round_trip(spark, tmp_path):
     assert files.check_counts(gold, 150, 200, 600) == [] and files.check_counts(gold, 1, 200, 600) == ["expected 1 positive queries, found 150"]
 
 
+def test_queries_in_lines_with_their_metadata(spark, tmp_path):
+    gold = fixtures.gold(spark, SF).drop("key").repartition(3)
+    files.write_queries(gold, str(tmp_path / "gold"), dataset="g")
+    again, about = files.read_queries(spark, str(tmp_path / "gold"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, gold.collect())) and len(list((tmp_path / "gold" / "queries").glob("*.json"))) == 3
+    row = about.first()
+    assert (row.dataset, row.total_queries, row.total_phi_elements) == ("g", 350, 600) and row.phi_type_distribution["NAME"] == 150
+
+
 def test_logs(spark, tmp_path):
     folder = tmp_path / "raw" / "m" / "p" / "run_2"
     folder.mkdir(parents=True)

@@ -62,17 +62,29 @@ def check_counts(gold: DataFrame, positive: int, negative: int, values: int) ->
 
 def write_dataset(gold: DataFrame, path: str, **about) -> None:
     """The gold set as one JSON document with its metadata. A single document is one task's work; sets
-    that are not small belong in Parquet."""
+    that are not small go to ``write_queries``."""
     queries = gold.agg(F.array_sort(F.collect_list(F.struct("query_id", "query_text", "phi_tags", "phi_count", "is_negative"))).alias("queries"))
     described = metadata(gold, **about).select(F.struct("*").alias("metadata"))
     described.crossJoin(queries).select(F.to_json(F.struct("metadata", "queries")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_queries(gold: DataFrame, path: str, **about) -> None:
+    """The gold set of any size: ``path``/queries as JSON lines in as many files as it has partitions, and its one row of
+    metadata as ``path``/metadata."""
+    gold.select("query_id", "query_text", "phi_tags", "phi_count", "is_negative").write.mode("overwrite").json(f"{path}/queries")
+    metadata(gold, **about).write.mode("overwrite").json(f"{path}/metadata")
+
+
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Annotated queries from JSON documents of metadata and queries."""
     return spark.read.schema(schemas.ENVELOPE).json(path, multiLine=True).select(F.inline("queries"))
 
 
+def read_queries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Annotated queries and metadata as ``write_queries`` writes them."""
+    return spark.read.schema(schemas.QUERY).json(f"{path}/queries"), spark.read.schema(schemas.METADATA).json(f"{path}/metadata")
+
+
 def read_config(spark: SparkSession, path: str) -> dict:
     """A small JSON configuration (prompts, models or parameters), read by way of Spark."""
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
