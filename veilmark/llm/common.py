@@ -60,6 +60,12 @@ def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that goes by a shuffle: a table that grows with the corpus is not sent whole through the
+    driver, however small the planner takes it for."""
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs: it learns of them by garbage collection."""
     gc.collect()
@@ -159,10 +165,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(dealt(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        small = large.join(dealt(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         after = written(small.filter("u <> v").distinct(), "cc")
         was, mark = mark, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_written(spark, now)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, drop_written, fresh, map_texts, partitions_for, release, row_key, space_words, utf8, written
+from .common import columns, components, dealt, drop_written, fresh, map_texts, partitions_for, release, row_key, space_words, utf8, written
 
 #: Buckets up to this size are joined pairwise; larger ones take the exact two-wildcard way.
 BUCKET = 64
@@ -89,11 +89,11 @@ def near_pairs(fps: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("varying"))
         .filter("n > 1")
     )
-    shared = written(sigs.join(buckets, "sig"), "simhash-buckets")
+    shared = written(sigs.join(dealt(buckets), "sig"), "simhash-buckets")
     release(fps.sparkSession)
     some = shared.filter(F.col("n") <= BUCKET).select("sig", "fp")
     pairs = some.alias("a").join(
-        some.alias("b"),
+        dealt(some).alias("b"),
         F.expr(
             "a.sig = b.sig and a.fp < b.fp and bit_count(a.fp ^ b.fp) <= 2 and "
             # equal segments share all 32 wildcards: take the first only
@@ -114,7 +114,7 @@ def near_pairs(fps: DataFrame) -> DataFrame:
         )
     )
     star = hot.groupBy("key").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    star = hot.join(star, "key").filter("fp <> v").select(F.col("fp").alias("u"), "v")
+    star = hot.join(dealt(star), "key").filter("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).union(star)
 
 
@@ -126,7 +126,7 @@ def _rooted(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     edges = near_pairs(classes.select("fp"))
     roots = components(edges)
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+    rooted = classes.join(dealt(roots), F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     rooted = written(rooted, "simhash-roots")
@@ -146,8 +146,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """
     prints, rooted = _rooted(docs, width)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("_fp")).select(
+    named = rooted.join(dealt(least), "root").select(F.col("fp").alias("_fp"), "component_id")
+    return prints.join(dealt(named), F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -164,10 +164,10 @@ def one_each(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame
     """One row of ``docs`` for each root, from (doc_id, _th, fp) of all rows and (fp, root)."""
     # the smallest key of each fingerprint, then of each group: no step gathers a group's rows
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
-    kept = prints.groupBy("fp").agg(F.min(first).alias("k")).join(rooted, "fp").groupBy("root").agg(F.min("k").alias("k"))
+    kept = prints.groupBy("fp").agg(F.min(first).alias("k")).join(dealt(rooted), "fp").groupBy("root").agg(F.min("k").alias("k"))
     kept = written(kept.select("k.doc_id", "k._th"), "simhash-kept")
     th = fresh(docs, "_th")
     rows = docs.withColumn(th, F.xxhash64("text")).alias("d")
-    out = rows.join(kept.alias("k"), F.expr(f"d.{th} = k._th and d.doc_id <=> k.doc_id"), "left_semi")
+    out = rows.join(dealt(kept).alias("k"), F.expr(f"d.{th} = k._th and d.doc_id <=> k.doc_id"), "left_semi")
     n, distinct = prints.agg(F.count("*"), F.count_distinct(F.struct("doc_id", "_th"))).first()
     return (out if n == distinct else out.dropDuplicates(["doc_id", th])).select(columns(docs))
