@@ -20,9 +20,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by 5-word shingles of Jaccard 0.8 or more. Texts without
-    words, null ones among them, are one group; of repeated rows one stays."""
-    return similar.keep_one(docs)
+    """One document, that of the smallest doc_id, of each group linked by SimHash fingerprints (op1's: 3-word shingles, at most two
+    bits apart) or by 5-word shingles of Jaccard 0.8 or more. Texts without words, null ones among them, are one group; of
+    repeated rows one stays."""
+    return similar.keep_one(docs, simhash=3)
 
 
 def no_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("SimHash near-dedup, by shingle sets", no_near_copies),
+    ("SimHash near-dedup, and by shingle sets", no_near_copies),
     ("benchmark decontamination", no_benchmark_passages),
     ("mixing sources to target weights", mixed),
     ("token-ID / binary output", token_files),

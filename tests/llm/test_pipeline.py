@@ -1,13 +1,16 @@
 """Each stage of the pipeline on its own input, and the whole against brute force."""
 
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from cases import documents, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_similar import brute
-from veilmark.llm import decontam, mixing, quality
+from veilmark.llm import decontam, mixing, quality, simhash, similar
 from veilmark.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +68,20 @@ def test_keeps_clean_documents(spark, stages):
     good = before.join(labels, "doc_id")
     assert good.join(after.select("doc_id"), "doc_id", "left_semi").count() >= 0.97 * good.count()
     assert after.filter(F.col("text").isNull()).count() == 0
+
+
+def test_near_copies_go_by_fingerprints_too(spark, monkeypatch):
+    # fingerprints link what no pair of shingle sets does: 1 with 2, while shingles link 2 with 3
+    rng = random.Random(5)
+    a, b, d = (words(rng, 100) for _ in range(3))
+    made = {a: 0b1010, b: 0b1001, b + " end": 1 << 40, d: 1 << 20 | 1 << 50}
+    monkeypatch.setattr(similar, "majority", lambda hashes: made[next(t for t in made if np.array_equal(hashes, simhash.shingle_hashes(t.encode(), 3)))])
+    docs = documents(spark, list(made))
+    kept = sorted(r.doc_id for r in corpus_pipeline.no_near_copies(spark, docs, "").select("doc_id").collect())
+    assert kept == [0, 3]
+    assert sorted(r.doc_id for r in similar.keep_one(docs).select("doc_id").collect()) == [0, 1, 3]
+
+
+def test_no_two_kept_texts_are_linked_by_fingerprints(spark, stages):
+    kept = simhash.near_duplicates(stages[1][2])
+    assert kept.count() == kept.select("component_id").distinct().count() > 0

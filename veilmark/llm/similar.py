@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, map_texts, release, row_key, utf8, written
-from .simhash import one_each, shingle_hashes
+from .common import components, dealt, drop_written, map_texts, release, row_key, utf8, written
+from .simhash import majority, near_pairs, one_each, shingle_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -63,19 +63,21 @@ def _low(counted: float) -> np.uint64:
     return np.uint64(int(counted * (1 << 64)) - 1)
 
 
-def nodes(docs: DataFrame, width: int, counted: float) -> DataFrame:
-    """(doc_id, _th, node, n, low): each row's key, a hash of its set of shingles, how many it has and how
-    many of them are counted."""
+def nodes(docs: DataFrame, width: int, counted: float, simhash: int | None = None) -> DataFrame:
+    """(doc_id, _th, node, n, low, fp): each row's key, a hash of its set of shingles, how many it has and how
+    many of them are counted, and its SimHash fingerprint of ``simhash``-word shingles (null without them)."""
 
     def run(batches):
         for b in batches:
             sets = _sets(b.column(2), width)
             made = [pa.array(np.array([_node(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32())]
             low = pa.array([int(np.searchsorted(s, _low(counted), side="right")) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *made, low], ["doc_id", "_th", "node", "n", "low"])
+            fps = [None if simhash is None else majority(shingle_hashes(t, simhash)) for t in utf8(b.column(2))]
+            fps = pa.array([None if f is None else f - (f >> 63 << 64) for f in fps], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *made, low, fps], ["doc_id", "_th", "node", "n", "low", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select(*row_key(docs), "text"), run, f"doc_id {kind}, _th bigint, node bigint, n int, low int")
+    return map_texts(docs.select(*row_key(docs), "text"), run, f"doc_id {kind}, _th bigint, node bigint, n int, low int, fp bigint")
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -329,22 +331,38 @@ def _apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
     return left.join(apart, "s")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bucket: int = BUCKET, counted: float = COUNTED, group: int = GROUP) -> DataFrame:
+def fingerprint_links(rows: DataFrame) -> DataFrame:
+    """(u, v): links among the sets of ``rows`` (node, fp) whose texts' fingerprints are two bits apart at most, directly or through
+    others: each set with the smallest of its group."""
+    prints = written(rows.select("node", "fp").distinct(), "simhash-prints")
+    roots = components(near_pairs(prints.select("fp").distinct())).select(F.col("node").alias("fp"), F.col("root").alias("of"))
+    held = written(prints.join(dealt(roots), "fp", "left").select("node", F.coalesce("of", "fp").alias("of")).distinct(), "simhash-held")
+    least = held.groupBy("of").agg(F.min("node").alias("v"))
+    links = written(held.join(dealt(least), "of").filter("node <> v").select(F.col("node").alias("u"), "v"), "simhash-links")
+    drop_written(rows.sparkSession, prints, held)
+    return links
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bucket: int = BUCKET, counted: float = COUNTED, group: int = GROUP, simhash: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of documents that are linked by a Jaccard similarity of their
     sets of ``width``-word shingles of ``similarity`` or more: the one with the smallest doc_id, a row
     without an id only where its group has no other. All columns stay. Null and blank texts have no
     words and are one group; of repeated rows one stays; no rows give no rows. ``bucket``, ``counted`` and
-    ``group`` change the work, not the result.
+    ``group`` change the work, not the result. With ``simhash``, texts whose SimHash fingerprints of so many words a shingle differ
+    in at most two bits are linked as well, and groups are those of both kinds of links.
     """
     spark = docs.sparkSession
-    rows = written(nodes(docs, width, counted), "similar-rows")
+    rows = written(nodes(docs, width, counted, simhash), "similar-rows")
     keys = written(partnered(docs, rows, width, similarity, counted, group), "similar-keys")
     release(spark)
     sets = written(whole_sets(docs, keys.select("node", "doc_id", "_th"), width), "similar-sets")
     sets = _one_a_node(sets, keys)
     roots = similar_roots(sets, similarity, bucket)
+    if simhash is not None:
+        roots = components(fingerprint_links(rows).union(roots.select("node", "root")))
+        release(spark)
     prints = rows.select("doc_id", "_th", F.col("node").alias("fp"))
-    rooted = prints.select("fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    rooted = prints.select("fp").distinct().join(dealt(roots), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "similar-roots")
     drop_written(spark, keys, sets)
     release(spark)
